@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ WORD_RE = re.compile(WORD)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -75,3 +78,10 @@ def byte_words(data: bytes, chunk: int = 1 << 20):
             to += 1
         yield data[at:to].split()
         at = to
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (clusters: the same path, or --py-files)."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import license_scan, mixing, packing, quality, secret_scan, simhash, token_files
 from .common import documents
 
 
@@ -26,5 +26,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), eos=2))
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_mixing": op4_mixing, "op9_token_files": op9_token_files}
-ORACLES: dict[str, str] = {}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(documents(spark, sf_dir))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op6_secrets, op7_licenses, op9_token_files, op10_simhash)}
+ORACLES: dict[str, str] = {"op7_licenses": license_scan.oracle()}
