@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, packing, quality, secret_scan, simhash, token_files
-from .common import documents
+from . import license_scan, mixing, neighbours, packing, quality, secret_scan, simhash, token_files
+from .common import documents, importable
 
 
 def _tokenizer(name: str) -> str:
@@ -22,6 +22,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(documents(spark, sf_dir))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), eos=2))
 
@@ -43,5 +48,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op6_secrets, op7_licenses, op9_token_files, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op6_secrets, op7_licenses, op8_neighbours, op9_token_files, op10_simhash)}
 ORACLES: dict[str, str] = {"op7_licenses": license_scan.oracle()}
