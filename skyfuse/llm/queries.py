@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, neighbours, packing, quality, secret_scan, simhash, token_files
+from . import license_scan, mixing, neighbours, packing, quality, secret_scan, simhash, substring, token_files
 from .common import documents, importable
 
 
@@ -36,6 +36,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated_spans(documents(spark, sf_dir), span=50).drop("spans")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op6_secrets, op7_licenses, op8_neighbours, op9_token_files, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op5_substring, op6_secrets, op7_licenses, op8_neighbours, op9_token_files, op10_simhash)}
 ORACLES: dict[str, str] = {"op7_licenses": license_scan.oracle()}
