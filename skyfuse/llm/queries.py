@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, neighbours, packing, quality, secret_scan, simhash, substring, token_files
+from . import license_scan, mixing, neighbours, packing, quality, secret_scan, simhash, substring, text_search, token_files
 from .common import documents, importable
 
 
@@ -18,6 +18,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), eos=1, length=2048)
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_search.search(documents(spark, sf_dir), every=100, k=10)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(documents(spark, sf_dir))
 
@@ -52,5 +56,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op4_mixing, op5_substring, op6_secrets, op7_licenses, op8_neighbours, op9_token_files, op10_simhash)}
-ORACLES: dict[str, str] = {"op7_licenses": license_scan.oracle()}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_search, op4_mixing, op5_substring, op6_secrets, op7_licenses, op8_neighbours, op9_token_files, op10_simhash)}
+ORACLES: dict[str, str] = {"op3_search": text_search.oracle(), "op7_licenses": license_scan.oracle()}
