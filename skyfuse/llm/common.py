@@ -1,16 +1,14 @@
-"""Shared folder, written tables and word rules of the training-data operators."""
+"""Word rules and inputs of the training-data operators."""
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import importable, materialize, new_folder  # noqa: F401
+
 #: One word of the contracts: a run of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -21,46 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; in local sessions without one (tests) a temporary folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not root:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            return str(jdir.get()).rstrip("/")
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="skyfuse-")
-        sc.setCheckpointDir(root)
-        return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared root, deleted when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/skyfuse/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-    return path
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{new_folder(spark, name)}/rows"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text) -> F.Column:
     """Number of contract words of a text column, JVM-side; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -78,10 +36,3 @@ def byte_words(data: bytes, chunk: int = 1 << 20):
             to += 1
         yield data[at:to].split()
         at = to
-
-
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (clusters: the same path, or --py-files)."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)

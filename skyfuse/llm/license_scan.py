@@ -94,7 +94,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in (TEMPLATES if templates is None else templates).items())
     grams = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
-    norm = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '')"
+    norm = "list_filter(string_split(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
     return f"""
 WITH template(license, text) AS (VALUES {rows}),
 tw AS (SELECT license, {norm.format('text')} AS w FROM template),

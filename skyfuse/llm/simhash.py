@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import byte_words, materialize
-from .components import components
+from ..operators.components import components
 
 #: A bucket up to this many distinct fingerprints is compared whole; larger ones are dealt again.
 BUCKET = 1 << 14

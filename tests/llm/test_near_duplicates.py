@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from skyfuse.llm import simhash
-from skyfuse.llm.components import components
+from skyfuse.operators.components import components
 
 from . import cases
 
