@@ -17,37 +17,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the fit uses at most (those of the smallest hash), a documented bound.
-FIT_ROWS = 12_000
-BITS = 18
+FIT_ROWS = 8_000
+BITS = 22
 #: Least probability of the highest grade that a kept text has.
 KEEP_FROM = 0.6
 EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
 
+MASK = (1 << BITS) - 1
+
+
 def _hash(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) & MASK
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Hashed features of one word: its core, and its shape where that is unusual."""
-    head, core, tail = EDGE.match(word[:200]).groups()
-    shape = f"{head}_{tail}|" + ("U" if len(core) > 1 and core.isupper() else "d" if core.isdigit() else "" if core else "-")
-    core = core.lower()
-    out = [_hash(f"w:{core}")] if core else []
-    if len(core) > 5:  # families of words
-        out += [_hash(f"p:{core[:k]}") for k in (3, 4, 5, 6)]
-    if shape not in ("_|", "_,|", "_.|"):
-        out.append(_hash(f"s:{shape}"))
+    """Hashed features of one word: its core, the beginnings of long cores (families of words), and its shape where that is unusual."""
+    if word.isalpha():
+        head, core, tail = "", word, ""
+    else:
+        head, core, tail = EDGE.match(word[:200]).groups()
+    low = core.lower()
+    out = [zlib.crc32(low.encode("utf-8", "surrogatepass")) & MASK] if low else []
+    if len(low) > 5:
+        out += [zlib.crc32(low[:k].encode("utf-8", "surrogatepass"), 7) & MASK for k in (3, 4, 5, 6)]
+    case = "U" if len(core) > 1 and core.isupper() else "d" if core.isdigit() else "" if core else "-"
+    if head or case or tail not in ("", ",", "."):
+        out.append(_hash(f"s:{head}_{tail}|{case}"))
     return tuple(out)
 
 
 class Features(dict):
-    """word -> its features, bounded."""
+    """word -> its features, of those that the model weighs if it is given; bounded."""
+
+    def __init__(self, weighed: set[int] | None = None):
+        self.weighed = weighed
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         v = word_features(word)
+        if self.weighed is not None:
+            v = tuple(f for f in v if f in self.weighed)
         if len(word) <= 48:
             self[word] = v
         return v
@@ -61,7 +72,7 @@ def text_features(text: str | None, of: Features) -> set[int]:
         out.update(of[w])
     if words:
         n = len(text)
-        ratio = {"distinct": len(seen) / len(words), "upper": sum(1 for w in seen if len(w) > 1 and w.isupper()) / len(seen), "edge": sum(1 for w in seen if not w[-1].isalnum()) / len(seen), "alone": sum(1 for w in seen if not any(map(str.isalnum, w))) / len(seen), "length": min(1.0, n / len(words) / 20)}
+        ratio = {"distinct": len(seen) / len(words), "upper": sum(1 for w in seen if w.isupper() and len(w) > 1) / len(seen), "edge": sum(1 for w in seen if not w[-1].isalnum()) / len(seen), "alone": sum(1 for w in seen if not w.isalnum() and not any(map(str.isalnum, w))) / len(seen), "length": min(1.0, n / len(words) / 20)}
         size = min(6, int(math.log2(len(words) + 1) / 2))
         out.update(_hash(f"r:{k}:{size}:{int(v * 10)}") for k, v in ratio.items())
         out.update(_hash(f"r:{k}:{int(v * 20)}") for k, v in ratio.items())
@@ -70,12 +81,12 @@ def text_features(text: str | None, of: Features) -> set[int]:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    weights: object  # float32 array of 2**BITS
+    weights: dict[int, float]  # of the telling features
     thresholds: tuple[float, ...]
 
     def score(self, features) -> float:
-        w = self.weights
-        return float(sum(w[f] for f in features))
+        get = self.weights.get
+        return sum(w for f in sorted(features) if (w := get(f)))
 
     def probabilities(self, z: float) -> list[float]:
         """Of each grade."""
@@ -83,45 +94,51 @@ class OrdinalModel:
         return [b - a for a, b in zip([0.0, *at], [*at, 1.0], strict=True)]
 
 
-def telling(y, flat, row, grades: int, least: int = 4, strength: float = 20.0):
-    """Features whose presence tells a grade from those above it: a chi-squared of one degree over each cut, corrected for continuity.
+def telling(y, flat, row, n: int, grades: int, strength: float = 20.0):
+    """Features 0..n-1 whose presence tells a grade from those above it: a chi-squared of one degree over each cut, corrected for continuity.
 
     Rare words that come with a grade by chance don't pass.  Nor do words that speak for a higher grade: long clean
     texts hold many of those, and their sum would hide what a text is marked down for.
     """
     import numpy as np
 
-    found = np.zeros(1 << BITS, bool)
+    found = np.zeros(n, bool)
     for cut in range(grades - 1):
         for low, high in (((y <= cut), (y > cut)), ((y == cut), (y == cut + 1))):
-            n0, n1 = low.sum(), high.sum()
+            n0, n1 = int(low.sum()), int(high.sum())
             if not n0 or not n1:
                 continue
-            a = np.bincount(flat[low[row]], minlength=1 << BITS).astype(float)
-            b = np.bincount(flat[high[row]], minlength=1 << BITS).astype(float)
-            c, d, n = n0 - a, n1 - b, n0 + n1
-            chi = n * np.maximum(0, np.abs(a * d - b * c) - n / 2) ** 2 / np.maximum(1, (a + b) * (c + d) * n0 * n1)
-            found |= (chi >= strength) & (a + b >= least) & (a * n1 > b * n0)
+            a = np.bincount(flat[low[row]], minlength=n).astype(float)
+            b = np.bincount(flat[high[row]], minlength=n).astype(float)
+            c, d, m = n0 - a, n1 - b, n0 + n1
+            chi = m * np.maximum(0, np.abs(a * d - b * c) - m / 2) ** 2 / np.maximum(1, (a + b) * (c + d) * n0 * n1)
+            found |= (chi >= strength) & (a * n1 > b * n0)
     return found
 
 
-def fit_ordinal(y, sizes, flat, grades: int = 3, epochs: int = 60, rate: float = 1.0, l2: float = 1e-5, seed: int = 3) -> OrdinalModel:
+def fit_ordinal(y, sizes, flat, grades: int = 3, epochs: int = 60, rate: float = 1.0, l2: float = 1e-5, least: int = 4, seed: int = 3) -> OrdinalModel:
     """Maximum likelihood over the telling features by AdaGrad in mini-batches.
 
-    Arrays: the rows' grades, their numbers of features, and all rows' feature ids one after the other.
+    Arrays: the rows' grades, their numbers of features, and all rows' feature ids one after the other.  Features of
+    fewer than ``least`` rows are left out.
     """
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-4)
     t = np.linspace(-1.0, 1.0, grades - 1)
     t2 = np.full(grades - 1, 1e-2)
     if not len(y):
-        return OrdinalModel(w.astype(np.float32), tuple(t.tolist()))
-    of = np.repeat(np.arange(len(y)), sizes)
-    told = telling(y, flat, of, grades)[flat]
-    flat, sizes = flat[told], np.bincount(of[told], minlength=len(y))
+        return OrdinalModel({}, tuple(t.tolist()))
+    ids = np.flatnonzero(np.bincount(flat, minlength=1) >= least)
+    new = np.full(int(flat.max(initial=0)) + 1, -1, np.int32)
+    new[ids] = np.arange(len(ids), dtype=np.int32)
+    of, flat = np.repeat(np.arange(len(y), dtype=np.int32), sizes), new[flat]
+    of, flat = of[flat >= 0], flat[flat >= 0]
+    told = telling(y, flat, of, len(ids), grades)
+    of, flat = of[told[flat]], flat[told[flat]]
+    sizes = np.bincount(of, minlength=len(y))
     start = np.r_[0, np.cumsum(sizes)]
+    w, g2 = np.zeros(len(ids)), np.full(len(ids), 1e-4)
     share = np.maximum(np.bincount(y, minlength=grades), 1) / len(y)
     weight = (1 / share) ** 0.5
     weight /= (weight * share).sum()
@@ -149,7 +166,8 @@ def fit_ordinal(y, sizes, flat, grades: int = 3, epochs: int = 60, rate: float =
             t2 += gt * gt
             t -= rate * gt / np.sqrt(t2)
             t = np.maximum.accumulate(t + np.arange(grades - 1) * 1e-6)  # thresholds stay in order
-    return OrdinalModel(w.astype(np.float32), tuple(float(x) for x in t))
+    used = np.flatnonzero(w)
+    return OrdinalModel(dict(zip(ids[used].tolist(), w[used].tolist(), strict=True)), tuple(float(x) for x in t))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -182,23 +200,23 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     A null, empty or white text has no features and is not kept.  Repeated rows come each.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.weights, model.thresholds))  # 2**BITS floats, whatever the input
+    sent = spark.sparkContext.broadcast((model.weights, model.thresholds))  # telling features of a bounded sample
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
 
     def run(batches):
         import pyarrow as pa
 
         weights, thresholds = sent.value
-        m, of = OrdinalModel(weights.tolist(), thresholds), Features()
+        m = OrdinalModel(weights, thresholds)
+        of = Features(set(weights))
         for batch in batches:
             rows = []
             for t in batch.column(1):
                 text = t.as_py()
-                f = text_features(text, of)
-                if not f:
+                if not (text and text.strip()):
                     rows.append((0.0, 0.0, 0.0, False))
                     continue
-                z = m.score(f)
+                z = m.score(text_features(text, of))
                 p = m.probabilities(z)
                 rows.append((z, sum(k * q for k, q in enumerate(p)), p[-1], p[-1] >= keep_from))
             c = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -217,9 +235,13 @@ def kept_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
         import pyarrow as pa
 
         weights, thresholds = sent.value
-        m, of = OrdinalModel(weights.tolist(), thresholds), Features()
+        m = OrdinalModel(weights, thresholds)
+        of = Features(set(weights))
         for batch in batches:
-            f = [text_features(t.as_py(), of) for t in batch.column(at)]
-            yield batch.filter(pa.array([bool(x) and m.probabilities(m.score(x))[-1] >= keep_from for x in f], pa.bool_()))
+            keep = []
+            for t in batch.column(at):
+                text = t.as_py()
+                keep.append(bool(text and text.strip()) and m.probabilities(m.score(text_features(text, of)))[-1] >= keep_from)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
