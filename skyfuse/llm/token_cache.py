@@ -16,7 +16,7 @@ from itertools import islice
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 MARKS = ".,;:!?|#$%&*"
-KEEP, YOUNG, LONGEST, SLICE = 600_000, 300_000, 48, 200_000
+KEEP, YOUNG, LONGEST, SLICE = 400_000, 200_000, 48, 200_000
 
 _loaded: dict[str, CachedTokenizer] = {}
 
