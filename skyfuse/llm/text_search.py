@@ -19,7 +19,9 @@ from .substring import WordHash
 
 K1, B = 1.2, 0.75
 #: Documents of a block; shard document frequency from which a term is frequent; documents of a shard, and at most.
-BLOCK, FREQUENT, SHARD, MOST = 64, 64, 12_288, 24_576
+BLOCK, FREQUENT, SHARD, MOST = 64, 256, 8_192, 12_288
+#: A term in one of so many documents of the shard, or more, stands as a row.
+DENSE = 12
 #: Scores are compared and returned at this many decimals, so that the order of additions can't matter.
 DECIMALS = 6
 
@@ -43,13 +45,27 @@ def _index(docs: DataFrame, n_rows: int) -> DataFrame:
 
         def flush():
             nonlocal no
-            doc = np.repeat(np.arange(len(ids), dtype=np.int32), lens)
+            doc = np.repeat(np.arange(len(ids), dtype=np.uint16), lens)
             term, tf = np.concatenate(terms), np.concatenate(tfs)
+            tf = tf.astype(np.min_scalar_type(int(tf.max()) if len(tf) else 0))
+            terms.clear()
             order = np.argsort(term, kind="stable")
             term, doc, tf = term[order], doc[order], tf[order]
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
             df = np.diff(np.r_[first, len(term)]).astype(np.int32)
-            row = {"shard": [part * 4096 + no], "doc": [doc.tobytes()], "tf": [tf.astype(np.int32).tobytes()], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()], "terms": pa.array([term[first].view(np.int64)], pa.list_(pa.int64())), "df": pa.array([df], pa.list_(pa.int32()))}
+            # documents alike in their commonest terms (a language, mostly), and in length, stand together: block maxima tell more
+            alike = np.zeros(len(ids), np.int64)
+            for t in np.argsort(-df, kind="stable")[:12]:
+                alike *= 2
+                alike[doc[first[t] : first[t] + df[t]]] += 1
+            order = np.lexsort((sizes, alike))
+            place = np.empty(len(ids), np.uint16)
+            place[order] = np.arange(len(ids), dtype=np.uint16)
+            doc = place[doc]
+            ids[:], sizes[:] = [ids[k] for k in order], [sizes[k] for k in order]
+            order = np.lexsort((doc, term))
+            doc, tf = doc[order], tf[order]
+            row = {"shard": [part * 4096 + no], "doc": [doc.tobytes()], "tf": [tf.tobytes()], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [np.array(sizes, np.int64).tobytes()], "terms": pa.array([term[first].view(np.int64)], pa.list_(pa.int64())), "df": pa.array([df], pa.list_(pa.int32()))}
             no += 1
             for x in (ids, sizes, terms, tfs, lens):
                 x.clear()
@@ -60,7 +76,7 @@ def _index(docs: DataFrame, n_rows: int) -> DataFrame:
                 words = terms_of(t.as_py())
                 c = Counter(words)
                 terms.append(np.fromiter(map(hashes.__getitem__, c), np.uint64, len(c)))
-                tfs.append(np.fromiter(c.values(), np.int64, len(c)))
+                tfs.append(np.fromiter(c.values(), np.uint32, len(c)))
                 lens.append(len(c))
                 ids.append(i)
                 sizes.append(len(words))
@@ -80,7 +96,8 @@ class Shard:
     def __init__(self, doc, tf, ids, sizes, terms, df, mean: float):
         import numpy as np
 
-        self.doc, tf = np.frombuffer(doc, np.int32), np.frombuffer(tf, np.int32)
+        self.doc = np.frombuffer(doc, np.uint16)
+        tf = np.frombuffer(tf, f"u{len(tf) // max(1, len(self.doc))}") if len(tf) else np.zeros(0, np.uint8)
         self.ids, size = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
         self.terms, self.df = np.asarray(terms, np.int64).view(np.uint64), np.asarray(df, np.int64)
         self.at = np.r_[0, np.cumsum(self.df)]
@@ -90,6 +107,14 @@ class Shard:
         self.often = np.flatnonzero(self.df >= FREQUENT)
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[self.often] = np.arange(len(self.often))
+        # terms in many of the documents stand as rows, block by block
+        self.rows = np.flatnonzero(self.df >= max(FREQUENT, len(self.ids) // DENSE))
+        self.dense = np.full(len(self.terms), -1, np.int32)
+        self.dense[self.rows] = np.arange(len(self.rows))
+        self.table = np.zeros((self.n_blocks, len(self.rows), BLOCK))
+        for r, t in enumerate(self.rows):
+            at = self.doc[self.at[t] : self.at[t + 1]].astype(np.int64)
+            self.table[at // BLOCK, r, at % BLOCK] = self.impact[self.at[t] : self.at[t + 1]]
         # block maxima and block starts of the frequent terms
         self.top = np.zeros((len(self.often), self.n_blocks))
         self.start = np.zeros((len(self.often), self.n_blocks + 1), np.int64)
@@ -107,7 +132,7 @@ class Shard:
 
         n = hi - lo
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return self.doc[at], self.impact[at] * np.repeat(weight, n)
+        return self.doc[at].astype(np.int64), self.impact[at] * np.repeat(weight, n)
 
     def search(self, terms, idf, own: int, k: int):
         """(scores, ids) of the k best documents but ``own``, and the number of blocks scored."""
@@ -127,8 +152,10 @@ class Shard:
         if rare.any():
             d, w = self._gather(self.at[place[rare]], self.at[place[rare] + 1], idf[rare])
             score += np.bincount(d, w, minlength=len(score))
-        rows, weight = row[~rare], idf[~rare]
-        bound = score.reshape(-1, BLOCK).max(axis=1) + weight @ self.top[rows]
+        bound = score.reshape(-1, BLOCK).max(axis=1) + idf[~rare] @ self.top[row[~rare]]
+        dense = self.dense[place]
+        often = ~rare & (dense < 0)
+        rows, weight, table, wide = row[often], idf[often], dense[dense >= 0], idf[dense >= 0]
         order = np.argsort(-bound, kind="stable")
         bound, slack = bound[order], 10.0**-DECIMALS
         got_s, got_i, least, at, step, seen = np.zeros(0), np.zeros(0, np.int64), -np.inf, 0, 8, 0
@@ -137,6 +164,8 @@ class Shard:
             block = block[bound[at : at + step] >= least - 2 * slack]
             seen += len(block)
             s = score.reshape(-1, BLOCK)[block]
+            if len(table):
+                s = s + wide @ self.table[block[:, None], table]
             if len(rows):
                 lo, hi = self.start[rows][:, block].ravel(), self.start[rows][:, block + 1].ravel()
                 d, w = self._gather(lo, hi, np.repeat(weight, len(block)))
@@ -205,8 +234,8 @@ def search(docs: DataFrame, every: int = 100, k: int = 10, id_col: str = "doc_id
 
         store, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
         for b in batches:
-            for x in b.to_pylist():
-                shard = Shard(x["doc"], x["tf"], x["ids"], x["sizes"], x["terms"], x["df"], mean)
+            for doc, tf, ids, sizes, at, df in zip(*(b.column(c) for c in ("doc", "tf", "ids", "sizes", "terms", "df")), strict=True):
+                shard = Shard(*(x.as_buffer() for x in (doc, tf, ids, sizes)), at.values.to_numpy(), df.values.to_numpy(), mean)
                 for q in ds.dataset(f"{top}/rows", filesystem=store, format="parquet").to_batches(batch_size=256, columns=["query_id", "terms", "idf"]):
                     out = ([], [], [])
                     for own, terms, idf in zip(q.column(0).to_pylist(), q.column(1), q.column(2), strict=True):
@@ -216,7 +245,7 @@ def search(docs: DataFrame, every: int = 100, k: int = 10, id_col: str = "doc_id
                         out[2].extend(s.tolist())
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
 
-    found = index.drop("shard").repartition(max(1, -(-n_rows // SHARD))).mapInArrow(run, "query_id long, doc_id long, score double")
+    found = index.drop("shard").mapInArrow(run, "query_id long, doc_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -58,8 +58,8 @@ def test_cases(spark):
 def test_blocks_are_pruned():
     """One document far above the rest: most blocks must not be scored."""
     n = 64 * 40
-    doc = np.r_[np.arange(n), [7]].astype(np.int32)
-    tf = np.r_[np.ones(n), [50]].astype(np.int32)
+    doc = np.r_[np.arange(n), [7]].astype(np.uint16)
+    tf = np.r_[np.ones(n), [50]].astype(np.uint8)
     tf[7] = 60
     shard = text_search.Shard(doc.tobytes(), tf.tobytes(), np.arange(n).tobytes(), np.full(n, 10).tobytes(), [1, 2], [n, 1], 10.0)
     s, ids, seen = shard.search(np.array([1, 2], np.uint64), np.array([0.1, 5.0]), -1, 1)
