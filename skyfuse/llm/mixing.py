@@ -113,12 +113,13 @@ def allocate(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("thash"), F.lit(0).alias("dup"))
     placed, used = _plan(rows, weights, share, cap, block, shard_slots, seed)
     uses = used.groupBy("sid", "block").agg(F.count("*").alias("uses"), F.min("words").alias("least"))
-    got = _pieces(placed, block).join(uses, ["sid", "block"])
+    # the planner takes exploded slots for as small as the sources they come from; they grow with the input
+    got = _pieces(placed, block).join(uses.hint("merge"), ["sid", "block"])
     cut = F.greatest(F.lit(0), F.least(F.col("to"), F.col("least")) - F.col("from"))
     taken = (F.col("uses") - 1) * (F.col("to") - F.col("from")) + cut
     # a row is known by its place in its source's stream; rows without words share a place and take nothing
     per_row = got.groupBy("sid", "off").agg(F.sum(taken).alias("got"))
-    out = placed.join(per_row, ["sid", "off"], "left")
+    out = placed.join(per_row.hint("merge"), ["sid", "off"], "left")
     taken_col = F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", taken_col.alias("taken"))
 
@@ -135,17 +136,18 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     rows = rows.groupBy("_k1", "_k2", "source", "size").count().withColumn("dup", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
     rows = rows.select(F.col("_k1").alias("doc_id"), "source", "size", F.col("_k2").alias("thash"), "dup")
     placed, used = _plan(rows, weights, share, cap, block, shard_slots, seed)
-    got = _pieces(placed, block).join(used.select("sid", "block", "pass", "words"), ["sid", "block"])
+    got = _pieces(placed, block).join(used.select("sid", "block", "pass", "words").hint("merge"), ["sid", "block"])
     got = got.withColumn("end", F.least(F.col("to"), F.col("words"))).where("end > from")
     span = F.struct(F.col("doc_from").alias("at"), (F.col("end") - F.col("from")).alias("n"))
     got = got.groupBy("doc_id", "thash", "size", "dup", "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     got = got.groupBy(F.col("doc_id").alias("_k1"), F.col("thash").alias("_k2"), F.col("size").alias("_size")).agg(F.collect_list(F.struct("dup", "pass", "spans")).alias("_copies"))
     alike = W.partitionBy("_k1", "_k2").orderBy("_k1")
-    d = docs.select("*", *key).withColumn("_dup", F.row_number().over(alike)).join(got, ["_k1", "_k2"])
+    d = docs.select("*", *key).withColumn("_dup", F.row_number().over(alike)).join(got.hint("merge"), ["_k1", "_k2"])
     d = d.withColumn("_c", F.explode(F.filter("_copies", lambda c: c["dup"] == F.col("_dup"))))
     whole = F.aggregate("_c.spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]) == F.col("_size")
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("_c.spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["n"].cast("int")))), "")
+    # the words stand in an array of one, so that they are cut once for a row and not once for a span
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_c.spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))[0]
     d = d.withColumn("_text", F.when(whole, F.col(text_col)).otherwise(cut))
     new = {text_col: F.col("_text")} | ({n_chars_col: F.length("_text").cast(docs.schema[n_chars_col].dataType)} if n_chars_col in docs.columns else {})
     return d.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
