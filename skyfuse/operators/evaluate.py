@@ -75,10 +75,10 @@ def average_precision(pred: DataFrame, n_gt: int, match: DataFrame, thresholds:
     by = W.partitionBy("thr").orderBy("place")
     hit = hit.withColumn("tp", F.row_number().over(by)).withColumn("precision", F.col("tp") / F.col("place"))
     hit = hit.withColumn("env", F.max("precision").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    # match number tp answers the levels above recall (tp - 1) / n up to tp / n
-    level = F.sequence(F.lit(0), F.lit(100))
-    ok = F.filter(level, lambda r: (F.col("tp") / F.lit(n_gt) >= r / F.lit(100.0)) & ((F.col("tp") == 1) | ((F.col("tp") - 1) / F.lit(n_gt) < r / F.lit(100.0))))
-    ap = hit.groupBy("thr").agg((F.sum(F.col("env") * F.size(ok)) / F.lit(101.0)).alias("ap"))
+    # match number tp answers the levels r above recall (tp - 1) / n up to tp / n, in whole numbers
+    upto = lambda tp: (100 * tp - F.pmod(100 * tp, F.lit(n_gt))) / F.lit(n_gt)
+    levels = upto(F.col("tp")) - upto(F.col("tp") - 1) + F.when(F.col("tp") == 1, 1).otherwise(0)
+    ap = hit.groupBy("thr").agg((F.sum(F.col("env") * levels) / F.lit(101.0)).alias("ap"))
     return base.join(ap, "thr", "left").select("thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 

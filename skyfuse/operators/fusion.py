@@ -5,14 +5,16 @@ Boxes come as DataFrames with seq (unique), score and x1..y2; a higher score ran
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.boxes import box_area, iou, over_smaller
+from ..functions.boxes import iou, over_smaller, overlaps
+from ..runtime import materialize
 from .components import components
-from .greedy import first_independent, heads
-from .tile_join import near_pairs, tile_pairs, tile_size
+from .tile_join import near_pairs, tile_pairs, tile_size, tiled
 
 FUSED_FLOOR = 1e-6
 
@@ -21,15 +23,39 @@ def _slim(f: DataFrame, keys: list[str]) -> DataFrame:
     return f.select("seq", F.coalesce("score", F.lit(0.0)).alias("score"), "x1", "y1", "x2", "y2", *keys)
 
 
-def ranked_edges(f: DataFrame, overlap, threshold: float, keys: list[str] | None = None, tile: float | None = None) -> DataFrame:
-    """(u, v, u_score): pairs whose overlap exceeds the threshold, u ranked before v; only keys, rank and box travel."""
-    keys = keys or []
-    s = _slim(f, keys)
-    pairs = tile_pairs(s, s, tile or tile_size(s), keys, True, F.col("a.seq") < F.col("b.seq"))
-    pairs = pairs.where(overlap("a", "b") > F.lit(float(threshold)))
-    first = (F.col("a.score") > F.col("b.score")) | ((F.col("a.score") == F.col("b.score")) & (F.col("a.seq") < F.col("b.seq")))
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return pairs.select(pick("a.seq", "b.seq").alias("u"), pick("b.seq", "a.seq").alias("v"), pick("a.score", "b.score").alias("u_score"))
+def _meets(a: str, b: str, keys: list[str], overlap, threshold: float) -> Column:
+    """Rows of the same tile and keys that overlap by more than the threshold."""
+    on = (F.col(f"{a}.tx") == F.col(f"{b}.tx")) & (F.col(f"{a}.ty") == F.col(f"{b}.ty"))
+    for k in keys:
+        on &= F.col(f"{a}.{k}") == F.col(f"{b}.{k}")
+    return on & overlaps(a, b) & (overlap(a, b) > F.lit(float(threshold)))
+
+
+def _before(a: str, b: str) -> Column:
+    return (F.col(f"{a}.score") > F.col(f"{b}.score")) | ((F.col(f"{a}.score") == F.col(f"{b}.score")) & (F.col(f"{a}.seq") < F.col(f"{b}.seq")))
+
+
+def first_ranked(s: DataFrame, overlap, threshold: float, keys: list[str], tile: float, most_rounds: int = 500) -> DataFrame:
+    """The rows that a scan by rank keeps, of slim rows (seq, score, box, keys).
+
+    A round keeps the open rows that no better open row overlaps, and drops what those overlap.  Both are semi-joins
+    on tiles, which stop at a row's first match: no pair is ever written.  Rows of a dense cluster are gone after one
+    round.
+    """
+    open_, out = s, []
+    for _ in range(most_rounds):
+        if not open_.head(1):
+            break
+        t = tiled(open_, tile)
+        beaten = t.alias("a").join(t.alias("b"), _meets("a", "b", keys, overlap, threshold) & _before("b", "a"), "left_semi").select("seq").distinct().checkpoint()
+        kept = open_.join(beaten, "seq", "left_anti").checkpoint()
+        out.append(kept)
+        rest = open_.join(beaten, "seq", "left_semi")
+        lost = tiled(rest, tile).alias("a").join(tiled(kept, tile).alias("b"), _meets("a", "b", keys, overlap, threshold), "left_semi").select("seq").distinct()
+        open_ = rest.join(lost, "seq", "left_anti").checkpoint()
+    else:
+        raise RuntimeError("selection did not end")
+    return reduce(DataFrame.unionByName, out) if out else s.limit(0)
 
 
 def suppressed(f: DataFrame, threshold: float = 0.2, keys: list[str] | None = None) -> DataFrame:
@@ -37,15 +63,24 @@ def suppressed(f: DataFrame, threshold: float = 0.2, keys: list[str] | None = No
 
     ``keys`` such as the image restrict it to rows with equal keys.  Rows with a missing score rank as 0.
     """
-    lost = first_independent(ranked_edges(f, iou, threshold, keys))
-    return f.join(lost.select(F.col("node").alias("seq")), "seq", "left_anti")
+    keys = keys or []
+    s = materialize(_slim(f, keys), "nms-rows")
+    kept = first_ranked(s, iou, threshold, keys, tile_size(s))
+    return f.join(kept.select("seq"), "seq", "left_semi")
 
 
 def grouped(f: DataFrame, overlap, threshold: float, keys: list[str] | None = None) -> DataFrame:
     """f with head: the seq of the first-ranked kept row that each row falls to (its own, if kept)."""
-    e = ranked_edges(f, overlap, threshold, keys).checkpoint()
-    h = heads(e, first_independent(e), [-F.col("u_score"), F.col("u")])
-    return f.join(h.withColumnRenamed("node", "seq"), "seq", "left").withColumn("head", F.coalesce("head", "seq"))
+    keys = keys or []
+    s = materialize(_slim(f, keys), "nms-rows")
+    tile = tile_size(s)
+    kept = first_ranked(s, overlap, threshold, keys, tile).checkpoint()
+    rest = tiled(s.join(kept.select("seq"), "seq", "left_anti"), tile).alias("a")
+    near = rest.join(tiled(kept, tile).alias("b"), _meets("a", "b", keys, overlap, threshold)).select("a.seq", F.col("b.score").alias("s"), F.col("b.seq").alias("h"))
+    # the best score, then of equal ones the first: two plain aggregates
+    best = near.groupBy("seq").agg(F.max("s").alias("s"))
+    head = near.join(best, ["seq", "s"]).groupBy("seq").agg(F.min("h").alias("head"))
+    return f.join(head, "seq", "left").withColumn("head", F.coalesce("head", "seq"))
 
 
 def merged_groups(f: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -89,9 +124,9 @@ def merge_sources(image: DataFrame, ortho: DataFrame, strategy: str = "confidenc
     """
     keep = ("seq", "score", "x1", "y1", "x2", "y2")
     image, ortho = (x.select(*keep).withColumn("side", F.lit(k)) for k, x in enumerate((image, ortho)))
-    every = image.unionByName(ortho).withColumn("node", F.col("seq") * 2 + F.col("side"))
+    every = materialize(image.unionByName(ortho).withColumn("node", F.col("seq") * 2 + F.col("side")), "merge-rows")
     tile = tile_size(every)
-    pairs = tile_pairs(every, ortho.withColumn("node", F.col("seq") * 2 + F.col("side")), tile, None, True, F.col("a.node") != F.col("b.node"))
+    pairs = tile_pairs(every, every.where("side = 1"), tile, None, True, F.col("a.node") != F.col("b.node"))
     edges = pairs.where(iou("a", "b") > F.lit(float(threshold))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     if strategy == "union":
         out = every.select("side", *keep, F.when(F.col("side") == 1, "added").otherwise("kept").alias("outcome"))
@@ -100,7 +135,7 @@ def merge_sources(image: DataFrame, ortho: DataFrame, strategy: str = "confidenc
     if strategy not in ("prefer", "confidence"):
         if edges.head(1):
             raise ValueError(f"unknown merge strategy {strategy!r}")
-    parts = components(edges)
+    parts = components(edges).checkpoint()
     placed = every.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     alone = placed.join(parts, "node", "left_anti").select("side", *keep, F.when(F.col("side") == 1, "added").otherwise("kept").alias("outcome"))
     together = placed.join(parts.select("node"), "node", "left_semi")
@@ -138,7 +173,7 @@ def _iou(a: dict, b: dict) -> float:
 
 def view_groups(f: DataFrame, threshold: float = 0.1, distance: float = 0.0) -> DataFrame:
     """f with root: connected components of IoU above the threshold or, with a distance, of near centres."""
-    s = _slim(f, [])
+    s = materialize(_slim(f, []), "view-rows")
     pairs = tile_pairs(s, s, tile_size(s), None, True, F.col("a.seq") < F.col("b.seq")).where(iou("a", "b") > F.lit(float(threshold)))
     edges = pairs.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
     if distance > 0:
@@ -158,6 +193,3 @@ def view_sample(f: DataFrame, k: int = 5, threshold: float = 0.1, distance: floa
     """At most ``k`` rows of each group, drawn by seed."""
     order = W.partitionBy("root").orderBy(draw(F.col("seq"), seed), "seq")
     return view_groups(f, threshold, distance).withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= k).drop("pick")
-
-
-__all__ = ["box_area", "clusters", "draw", "fused", "grouped", "merge_sources", "merged_groups", "ranked_edges", "suppressed", "view_groups", "view_sample", "weighted_mean"]

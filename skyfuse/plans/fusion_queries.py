@@ -83,17 +83,17 @@ def j5_feature_footprints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(views.sql("det") + f" SELECT part AS img, k.seq AS seq FROM ({greedy_fold('det', 'img', '0.2e0')})")
 def k1_nms_per_image(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.suppressed(views.detections(spark, sf), 0.2, ["img"]).select("img", "seq")
+    return fusion.suppressed(views.detections(spark, sf, keep=True), 0.2, ["img"]).select("img", "seq")
 
 
 @query(views.sql("det") + f" SELECT k.seq AS seq, -k.score AS score FROM ({greedy_fold('det', 'module', '0.2e0')})")
 def k1_nms_global(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.suppressed(views.detections(spark, sf), 0.2).select("seq", "score")
+    return fusion.suppressed(views.detections(spark, sf, keep=True), 0.2).select("seq", "score")
 
 
 @query()
 def k1_nms_global_drift(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.suppressed(views.detections(spark, sf, drift=True), 0.2).select("seq", "score")
+    return fusion.suppressed(views.detections(spark, sf, drift=True, keep=True), 0.2).select("seq", "score")
 
 
 HEADS = ", h AS (SELECT part, k.seq AS head, k.score AS s, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM ({fold})), m AS (SELECT a.*, first(b.head ORDER BY b.s, b.head) AS head FROM det a JOIN h b ON a.module = b.part AND (a.seq = b.head OR {hit}) GROUP BY ALL)"
@@ -102,12 +102,12 @@ IOS_HIT = f"{INTER} / least({AREA.format('a')}, {AREA.format('b')}) > 0.5e0"
 
 @query(views.sql("det") + HEADS.format(fold=greedy_fold("det", "module", "0.5e0", "smaller"), hit=IOS_HIT) + " SELECT head, count(*) AS n, max(CASE WHEN seq = head THEN score END) AS score, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM m GROUP BY head")
 def k2_nmm_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.merged_groups(views.detections(spark, sf), 0.5)
+    return fusion.merged_groups(views.detections(spark, sf, keep=True), 0.5)
 
 
 @query(views.sql("det") + HEADS.format(fold=greedy_fold("det", "module", "0.2e0"), hit=f"{IOU} > 0.2e0") + " SELECT head, count(*) AS n, round(sum(score * greatest(score, 1e-6)) / sum(greatest(score, 1e-6)), 9) AS con_weight, count(DISTINCT src) AS sources, min(src) AS first_src FROM m GROUP BY head")
 def k3_cluster_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    d = views.detections(spark, sf).withColumns({c: F.col("score") for c in ("con_sem", "con_pv", "con_weight")})
+    d = views.detections(spark, sf, keep=True).withColumns({c: F.col("score") for c in ("con_sem", "con_pv", "con_weight")})
     c = fusion.clusters(d, 0.2)
     src = F.split("src", ";")
     return c.select("head", "n", F.round("con_weight", 9).alias("con_weight"), F.size(src).cast("long").alias("sources"), F.element_at(src, 1).alias("first_src"))
@@ -118,26 +118,26 @@ MERGE = views.sql("det", "ortho") + f", i AS (SELECT part AS module, k.seq AS se
 
 @query(MERGE + " SELECT CASE WHEN t.so > t.si THEN 'ortho' ELSE 'image' END AS source, CASE WHEN t.so > t.si THEN t.o ELSE i.seq END AS seq, CASE WHEN t.so > t.si THEN 'replaced' ELSE 'kept' END AS outcome FROM i LEFT JOIN t ON t.i = i.seq UNION ALL SELECT 'ortho', seq, 'added' FROM ortho WHERE seq NOT IN (SELECT o FROM t)")
 def k6_dom_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    i = fusion.suppressed(views.detections(spark, sf), 0.2)
+    i = fusion.suppressed(views.detections(spark, sf, keep=True), 0.2)
     return fusion.merge_sources(i, views.ortho(spark, sf), "confidence", 0.2).select("source", "seq", "outcome")
 
 
 @query(MERGE + " SELECT CASE WHEN t.o IS NOT NULL THEN 'ortho' ELSE 'image' END AS source, coalesce(t.o, i.seq) AS seq, CASE WHEN t.o IS NOT NULL THEN 'replaced' ELSE 'kept' END AS outcome FROM i LEFT JOIN t ON t.i = i.seq UNION ALL SELECT 'ortho', seq, 'added' FROM ortho WHERE seq NOT IN (SELECT o FROM t)")
 def k6_dom_prefer(spark: SparkSession, sf: str) -> DataFrame:
-    i = fusion.suppressed(views.detections(spark, sf), 0.2)
+    i = fusion.suppressed(views.detections(spark, sf, keep=True), 0.2)
     return fusion.merge_sources(i, views.ortho(spark, sf), "prefer", 0.2).select("source", "seq", "outcome")
 
 
 @query(MERGE + " SELECT 'image' AS source, seq, 'kept' AS outcome FROM i UNION ALL SELECT 'ortho', seq, 'added' FROM ortho")
 def k6_dom_union(spark: SparkSession, sf: str) -> DataFrame:
-    i = fusion.suppressed(views.detections(spark, sf), 0.2)
+    i = fusion.suppressed(views.detections(spark, sf, keep=True), 0.2)
     return fusion.merge_sources(i, views.ortho(spark, sf), "union", 0.2).select("source", "seq", "outcome")
 
 
 # components by module: inside one module every two sightings overlap by more than 0.1, across modules none does by 0.2
 @query(views.sql("det") + " SELECT min(seq) AS root, count(*) AS n FROM det GROUP BY module")
 def k7_components(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.view_groups(views.detections(spark, sf), 0.2).groupBy("root").agg(F.count("*").alias("n"))
+    return fusion.view_groups(views.detections(spark, sf, keep=True), 0.2).groupBy("root").agg(F.count("*").alias("n"))
 
 
 DRAW = "((((seq + 42) * 48271) % 2147483647) * 16807 + 11) % 2147483647"
@@ -145,14 +145,14 @@ DRAW = "((((seq + 42) * 48271) % 2147483647) * 16807 + 11) % 2147483647"
 
 @query(views.sql("det") + f" SELECT root, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY module) AS root, row_number() OVER (PARTITION BY module ORDER BY {DRAW}, seq) AS k FROM det) WHERE k <= 5")
 def l2_view_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return fusion.view_sample(views.detections(spark, sf), 5, 0.2).select("root", "seq")
+    return fusion.view_sample(views.detections(spark, sf, keep=True), 5, 0.2).select("root", "seq")
 
 
 # ---- votes
 
 @query(views.sql("det") + ", c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM det), q AS (SELECT quantile_cont(cx, 0.25) AS a, quantile_cont(cx, 0.75) AS b, quantile_cont(cy, 0.25) AS c, quantile_cont(cy, 0.75) AS d FROM c) SELECT min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM c, q WHERE cx BETWEEN a - 0.4e0 * greatest(b - a, 1e0) AND b + 0.4e0 * greatest(b - a, 1e0) AND cy BETWEEN c - 0.4e0 * greatest(d - c, 1e0) AND d + 0.4e0 * greatest(d - c, 1e0)")
 def a5_robust_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    return votes.bounds_frame(views.detections(spark, sf), 0.4)
+    return votes.bounds_frame(views.detections(spark, sf, keep=True), 0.4)
 
 
 GRID = votes.Grid(-2.0, 60.0, 300, 160, 0.5)
@@ -178,7 +178,7 @@ def r3_vote_instances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def r1_pixel_vote(spark: SparkSession, sf: str) -> DataFrame:
-    return votes.pixel_vote(views.detections(spark, sf), 0.25, 3, min_area=0.3).select("root", "cells", F.round("area", 6).alias("area"), "score")
+    return votes.pixel_vote(views.detections(spark, sf, keep=True), 0.25, 3, min_area=0.3).select("root", "cells", F.round("area", 6).alias("area"), "score")
 
 
 # ---- evaluation
@@ -202,7 +202,7 @@ PRF = ", n AS (SELECT (SELECT count(*) FROM det) AS p, (SELECT count(*) FROM gt)
 
 @query(views.sql("det", "gt") + TP.format(thr=listed(ev.THRESHOLDS)) + PRF)
 def a7_prf(spark: SparkSession, sf: str) -> DataFrame:
-    p, g = views.detections(spark, sf), views.truth(spark, sf)
+    p, g = views.detections(spark, sf, keep=True), views.truth(spark, sf)
     return ev.counts(p, g, ev.matched(ev.overlap_pairs(p, g), ev.THRESHOLDS), ev.THRESHOLDS)
 
 
@@ -211,7 +211,7 @@ AP = ", n AS (SELECT count(*) AS g FROM gt), r AS (SELECT seq, row_number() OVER
 
 @query(views.sql("det", "gt") + TP.format(thr=listed(ev.THRESHOLDS)) + AP + " SELECT thr, ap FROM ap")
 def w3_ap_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    p, g = views.detections(spark, sf), views.truth(spark, sf)
+    p, g = views.detections(spark, sf, keep=True), views.truth(spark, sf)
     m = ev.matched(ev.overlap_pairs(p, g), ev.THRESHOLDS)
     return ev.average_precision(p, g.count(), m, ev.THRESHOLDS).select("thr", F.round("ap", 9).alias("ap"))
 
@@ -221,7 +221,7 @@ AJI = ", e AS (SELECT a.seq, b.gt, " + IOU + " AS iou, " + INTER + " AS inter FR
 
 @query(views.sql("det", "gt") + AJI + f" SELECT round((SELECT sum(inter) FROM best) / ((SELECT sum({AREA.format('det')}) FROM det) + (SELECT sum({AREA.format('gt')}) FROM gt) - (SELECT sum(inter) FROM best)), 9) AS aji")
 def k5_aji(spark: SparkSession, sf: str) -> DataFrame:
-    p, g = views.detections(spark, sf), views.truth(spark, sf)
+    p, g = views.detections(spark, sf, keep=True), views.truth(spark, sf)
     return ev.aji(p, g, ev.overlap_pairs(p, g)).select(F.round("aji", 9).alias("aji"))
 
 
@@ -232,14 +232,14 @@ def a11_seg_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(views.sql("det", "gt") + TP.format(thr=listed((0.5, 0.75))) + ", s AS (SELECT m.*, hypot((d.x1 + d.x2) / 2 - (g.x1 + g.x2) / 2, (d.y1 + d.y2) / 2 - (g.y1 + g.y2) / 2) AS ds, iou * (pa + ga) / (1 + iou) AS i FROM m JOIN det d USING (seq) JOIN gt g ON g.gt = m.gt) SELECT thr, round(avg(iou), 9) AS mean_iou, round(sum(i) / sum(pa + ga - i), 9) AS micro_iou, round(avg((pa - ga) * (pa - ga)), 9) AS area_mse, round(avg(abs(pa - ga)), 9) AS area_mae, round(sqrt(avg(ds * ds)), 9) AS centroid_rmse, round(avg(ds), 9) AS centroid_mae FROM s GROUP BY thr".replace("hypot(", "pythag(").replace("pythag((d.x1 + d.x2) / 2 - (g.x1 + g.x2) / 2, (d.y1 + d.y2) / 2 - (g.y1 + g.y2) / 2)", "sqrt(((d.x1 + d.x2) / 2 - (g.x1 + g.x2) / 2) ** 2 + ((d.y1 + d.y2) / 2 - (g.y1 + g.y2) / 2) ** 2)"))
 def a8_matched_stats(spark: SparkSession, sf: str) -> DataFrame:
-    p, g = views.detections(spark, sf), views.truth(spark, sf)
+    p, g = views.detections(spark, sf, keep=True), views.truth(spark, sf)
     s = ev.matched_stats(ev.matched(ev.overlap_pairs(p, g), (0.5, 0.75)), p, g)
     return s.select("thr", *[F.round(c, 9).alias(c) for c in s.columns if c != "thr"])
 
 
 @query(views.sql("det", "gt") + TP.format(thr=listed(ev.THRESHOLDS)) + AP + ", s AS (SELECT (SELECT avg(ap) FROM ap WHERE thr IN " + str(ev.COCO) + ") AS map, (SELECT avg(ap) FROM ap WHERE thr IN " + str(ev.STRICT) + ") AS ap_high, (SELECT avg(iou) FROM m WHERE thr = 0.5) AS sq, (SELECT count(*) FROM m WHERE thr = 0.5) AS tp, (SELECT count(*) FROM det) AS p, (SELECT count(*) FROM gt) AS g) SELECT round(map, 6) AS map, round(ap_high, 6) AS ap_high, round(sq, 6) AS sq, round(2e0 * tp / (p + g), 6) AS rq, round(sq * 2e0 * tp / (p + g), 6) AS pq FROM s")
 def a12_map_pq(spark: SparkSession, sf: str) -> DataFrame:
-    s = ev.summary(views.detections(spark, sf), views.truth(spark, sf))
+    s = ev.summary(views.detections(spark, sf, keep=True), views.truth(spark, sf))
     return s.select(*[F.round(c, 6).alias(c) for c in ("map", "ap_high", "sq", "rq", "pq")])
 
 

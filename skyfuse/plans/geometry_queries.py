@@ -63,7 +63,7 @@ def a9_area_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def a9_scene_iou(spark: SparkSession, sf: str) -> DataFrame:
-    p = fusion.suppressed(views.detections(spark, sf, True), 0.2)
+    p = fusion.suppressed(views.detections(spark, sf, True, True), 0.2)
     s = scene_areas(p, views.truth(spark, sf, True), 10.0)
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 

@@ -94,7 +94,7 @@ RUN = ", r AS (SELECT thr.thr, det.seq, det.score, CASE WHEN m.seq IS NULL THEN
 @query(views.sql("det", "gt") + TP.format(thr=listed((0.5, 0.9))) + RUN + " SELECT thr, seq, CAST(tp AS BIGINT) AS tp, CAST(n - tp AS BIGINT) AS fp FROM t")
 def w1_running_counts(spark: SparkSession, sf: str) -> DataFrame:
     """True and false positives so far in score order."""
-    p = views.detections(spark, sf)
+    p = views.detections(spark, sf, keep=True)
     m = ev.matched(ev.overlap_pairs(p, views.truth(spark, sf)), (0.5, 0.9)).select("thr", "seq", F.lit(1).alias("hit"))
     d = placed(p.select("seq", "score"), [F.desc("score"), F.asc("seq")]).withColumn("thr", F.explode(F.array(F.lit(0.5), F.lit(0.9))))
     so_far = W.partitionBy("thr").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
@@ -104,7 +104,7 @@ def w1_running_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(views.sql("det", "gt") + TP.format(thr=listed((0.5, 0.9))) + RUN + ", h AS (SELECT t.thr, t.seq, tp, tp / n AS p FROM t JOIN m ON m.seq = t.seq AND m.thr = t.thr) SELECT thr, seq, max(p) OVER (PARTITION BY thr ORDER BY tp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM h")
 def w2_precision_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.detections(spark, sf)
+    p = views.detections(spark, sf, keep=True)
     m = ev.matched(ev.overlap_pairs(p, views.truth(spark, sf)), (0.5, 0.9)).select("thr", "seq")
     d = m.join(placed(p.select("seq", "score"), [F.desc("score"), F.asc("seq")]).select("seq", "place"), "seq")
     by = W.partitionBy("thr").orderBy("place")
@@ -206,7 +206,7 @@ def m17_ray_plane(spark: SparkSession, sf: str) -> DataFrame:
 @query(views.sql("det", "gt") + TP.format(thr=listed((0.5,))) + ", n AS (SELECT img % 3 AS station, count(*) AS n_pred FROM det GROUP BY ALL), h AS (SELECT station, count(*) AS tp FROM (SELECT img % 3 AS station, b.gt, row_number() OVER (PARTITION BY img % 3, b.gt ORDER BY score DESC, seq) AS k FROM det a JOIN gt b ON a.module = b.gt AND " + IOU + " >= 0.5e0) WHERE k = 1 GROUP BY station) SELECT n.station, n_pred, coalesce(tp, 0) AS tp, (SELECT count(*) FROM gt) - coalesce(tp, 0) AS fn FROM n LEFT JOIN h USING (station)")
 def e8_stations(spark: SparkSession, sf: str) -> DataFrame:
     """Several stations in one job: the station is a key of the pairs and of the matching."""
-    p = views.detections(spark, sf).withColumn("station", F.col("img") % 3)
+    p = views.detections(spark, sf, keep=True).withColumn("station", F.col("img") % 3)
     g = views.truth(spark, sf).withColumn("station", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
     m = ev.matched(ev.overlap_pairs(p, g, ["station"]), (0.5,), ["station"])
     n = p.groupBy("station").agg(F.count("*").alias("n_pred")).join(g.groupBy("station").agg(F.count("*").alias("n_gt")), "station")
@@ -217,14 +217,14 @@ def e8_stations(spark: SparkSession, sf: str) -> DataFrame:
 @query(views.sql("det", "gt") + f", k AS (SELECT part AS module, k.seq AS seq, -k.score AS score, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM ({greedy_fold('det', 'module', '0.2e0')})), e AS (SELECT b.gt, {IOU} AS iou FROM k a JOIN gt b ON a.module = b.gt) SELECT round(avg(iou), 6) AS sq, count(*) AS tp FROM e WHERE iou >= 0.5e0")
 def e4_fused_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of the suppressed detections."""
-    p = fusion.suppressed(views.detections(spark, sf), 0.2)
+    p = fusion.suppressed(views.detections(spark, sf, keep=True), 0.2)
     m = ev.matched(ev.overlap_pairs(p, views.truth(spark, sf)), (0.5,))
     return m.agg(F.round(F.avg("iou"), 6).alias("sq"), F.count("*").alias("tp"))
 
 
 @query()
 def e11_vote_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    s = sweep(views.detections(spark, sf), views.truth(spark, sf), (0.2,), (2, 15), (0.0, 0.5))
+    s = sweep(views.detections(spark, sf, keep=True), views.truth(spark, sf), (0.2,), (2, 15), (0.0, 0.5))
     return s.select("cell", "min_votes", "min_area", "n_pred", F.round("f1", 6).alias("f1"), F.round("sq", 6).alias("sq"))
 
 

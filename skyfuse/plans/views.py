@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import placed
-from ..runtime import importable
+from ..runtime import importable, materialize
 
 
 def _gt(px: str, py: str) -> list[str]:
@@ -39,11 +39,15 @@ def truth(spark: SparkSession, sf: str, drift: bool = False) -> DataFrame:
     return _table(spark, sf, "part").selectExpr(*_gt(*(DRIFT if drift else ALIGNED)[:2]))
 
 
-def detections(spark: SparkSession, sf: str, drift: bool = False) -> DataFrame:
-    """Each line item is one sighting of its part in its supplier's image; seq is its place in the order of the lines."""
+def detections(spark: SparkSession, sf: str, drift: bool = False, keep: bool = False) -> DataFrame:
+    """Each line item is one sighting of its part in its supplier's image; seq is its place in the order of the lines.
+
+    ``keep`` writes the rows, for plans that read them more than once.
+    """
     li = _table(spark, sf, "lineitem")
     li = placed(li, [F.asc(c) for c in ORDER], "seq", li.count())
-    return li.selectExpr("seq", *_det(*(DRIFT if drift else ALIGNED)))
+    d = li.selectExpr("seq", *_det(*(DRIFT if drift else ALIGNED)))
+    return materialize(d, "detections") if keep else d
 
 
 def ortho(spark: SparkSession, sf: str) -> DataFrame:
