@@ -173,12 +173,12 @@ def r3_mask_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def r3_vote_instances(spark: SparkSession, sf: str) -> DataFrame:
     v = votes.cell_votes(views.detections(spark, sf), GRID)
-    return votes.instances(v, GRID, 2, 0.5).select("root", "cells", "area")
+    return votes.instances(v, GRID, 27, 0.5).select("root", "cells", "area")
 
 
 @query()
 def r1_pixel_vote(spark: SparkSession, sf: str) -> DataFrame:
-    return votes.pixel_vote(views.detections(spark, sf, keep=True), 0.25, 3, min_area=0.3).select("root", "cells", F.round("area", 6).alias("area"), "score")
+    return votes.pixel_vote(views.detections(spark, sf, keep=True), 0.2, 24, min_area=0.3).select("root", "cells", F.round("area", 6).alias("area"), "score")
 
 
 # ---- evaluation
