@@ -1,0 +1,163 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: prefix filter, verification, components.
+
+Equal sets of shingles fold into one.  Under any common order of the shingles, two sets of Jaccard ``least`` or more
+share one among the first n - ceil(least n) + 1 of each, so all pairs that can be similar meet at such a shingle: none
+is lost.  The order puts shingles that are common in a bounded sample last, which keeps the meetings small; what it
+is has no bearing on the result.  Meetings are linked in two steps.  First each set is held against the least and the
+greatest at its shingle, which collapses groups of copies without writing their pairs; then, where a meeting still
+holds several components, its sets outside of the commonest one are held against all of it that lie in others.  Every
+pair is verified on the whole sets, in whole numbers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import byte_words, materialize
+from ..operators.components import components
+
+#: Bounds of what orders the shingles: sets sampled, shingles taken for common, and how often those come in the sample.
+SAMPLE, COMMON, OFTEN = 2_000, 50_000, 4
+
+
+def shingles(text: str | None, words: int = 5, seed: int = 42):
+    """Sorted distinct 64-bit hashes of the word shingles (ASCII lower case); a shorter text is one shingle, one without words has none."""
+    import numpy as np
+    import xxhash
+
+    hash64, carry, out = xxhash.xxh64_intdigest, [], []
+    for part in byte_words((text or "").encode("utf-8", "surrogatepass").lower()):
+        w = carry + part
+        m = len(w) - words + 1
+        if m > 0:
+            out.append(np.fromiter((hash64(s, seed) for s in map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False))), np.uint64, m))
+        carry = w[-(words - 1) :] if words > 1 else []
+    if not out and carry:
+        out.append(np.array([hash64(b" ".join(carry), seed)], np.uint64))
+    return np.unique(np.concatenate(out).view(np.int64)) if out else np.zeros(0, np.int64)
+
+
+def prefix(grams, common, least: tuple[int, int]):
+    """The first n - ceil(least n) + 1 shingles: those that aren't in ``common`` (sorted hashes, and their places) by hash, then the others by place."""
+    import numpy as np
+
+    n = len(grams)
+    if not n:
+        return grams
+    size = n + (-least[0] * n) // least[1] + 1
+    hashes, places = common
+    if not len(hashes):
+        return grams[:size]
+    at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+    known = hashes[at] == grams
+    if not known.any():
+        return grams[:size]
+    late = grams[known][np.argsort(places[at[known]])]
+    return np.concatenate([grams[~known], late])[:size]
+
+
+def _common(docs: DataFrame, words: int, id_col: str, text_col: str):
+    """(hashes, places) of the shingles that are common in a sample, the rarer first; sorted by hash."""
+    import numpy as np
+
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words))], ["g"])
+
+    seen = docs.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(every)) == 0).select(F.col(text_col).alias("text"))
+    seen = seen.mapInArrow(run, "g long").groupBy("g").count().where(F.col("count") >= OFTEN)
+    top = seen.orderBy(F.desc("count"), "g").limit(COMMON).collect()  # bounded
+    g = np.array([r.g for r in reversed(top)], np.int64)
+    order = np.argsort(g)
+    return g[order], order
+
+
+def _sets(docs: DataFrame, words: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, k1, k2, s, n, grams, first): k1 and k2 a hashed key of id and text, s a hash of the set of shingles, first its prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, words, id_col, text_col))
+    key = [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit("sim"), id_col).alias("k2")]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        def lists(arrays):
+            flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(flat))
+
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column(3)]
+            s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            n = np.array([len(x) for x in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s), pa.array(n), lists(sets), lists([prefix(x, sent.value, least) for x in sets])], ["doc_id", "k1", "k2", "s", "n", "grams", "first"])
+
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.col(text_col).alias("text"))
+    return d.mapInArrow(run, "doc_id long, k1 long, k2 long, s long, n int, grams array<long>, first array<long>")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(g, s, lo, hi): the distinct sets that meet another at shingle g of both prefixes, with the least and greatest set there."""
+    p = rows.where("n > 0").select("s", "first").dropDuplicates(["s"]).select("s", F.explode("first").alias("g"))
+    at = W.partitionBy("g")
+    return p.withColumn("lo", F.min("s").over(at)).withColumn("hi", F.max("s").over(at)).where("lo <> hi").select("g", "s", "lo", "hi")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have Jaccard ``least`` or more."""
+    x = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    y = sets.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    p, q = least
+    # both / (na + nb - both) >= p / q
+    return pairs.join(x, "a").join(y, "b").where(both * (p + q) >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def similar_links(rows: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """rows(k1, k2, s, n, grams, first) -> links (a, b) of sets with Jaccard ``least`` or more, which span each component."""
+    p, q = least
+    met = materialize(_met(rows), "jac-met")
+    lead = rows.groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("f")).join(met.select("s").distinct(), "s", "left_semi")
+    lead = lead.select("s", F.col("f.k1").alias("k1"), F.col("f.k2").alias("k2"))
+    sets = rows.join(lead, ["s", "k1", "k2"], "left_semi").dropDuplicates(["s", "k1", "k2"]).select("s", "n", "grams")
+    sets = materialize(sets, "jac-sets")
+    star = met.select("s", F.explode(F.array("lo", "hi")).alias("c")).where("s <> c")
+    star = star.select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).distinct()
+    size = sets.select("s", "n")
+    sized = lambda e: e.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"na * {q} >= nb * {p} and nb * {q} >= na * {p}").select("a", "b")
+    star = materialize(sized(star), "jac-pairs")
+    first = materialize(_similar(star, sets, least), "jac-star")
+    parts = components(first)
+    here = met.join(parts.select(F.col("node").alias("s"), "root"), "s", "left").select("g", "s", F.coalesce("root", "s").alias("root"))
+    at = W.partitionBy("g")
+    here = here.withColumn("top", F.mode("root", True).over(at)).withColumn("r0", F.min("root").over(at)).withColumn("r1", F.max("root").over(at))
+    here = materialize(here.where("r0 <> r1").select("g", "s", "root", "top"), "jac-open")
+    x = here.where("root <> top").select("g", F.col("s").alias("x"), F.col("root").alias("rx"))
+    y = here.select("g", F.col("s").alias("y"), F.col("root").alias("ry"))
+    rest = x.join(y, "g").where("rx <> ry")
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return first.unionByName(materialize(_similar(sized(rest).join(star, ["a", "b"], "left_anti"), sets, least), "jac-rest"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of texts whose word shingles have Jaccard ``least`` (numerator, denominator) or more.
+
+    The one with the smallest id stays (nulls last), all columns as they are; of rows alike in id and text one stays.
+    Null texts are empty; texts without words are alike.  The texts are shuffled once, by a hashed key of id and text.
+    """
+    rows = materialize(_sets(docs, words, least, id_col, text_col), "jac-rows")
+    parts = components(similar_links(rows, least))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("f")
+    by_set = rows.groupBy("s").agg(first).join(parts.withColumnRenamed("node", "s"), "s", "left")
+    stay = by_set.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("f").alias("f")).select(F.col("f.k1").alias("_k1"), F.col("f.k2").alias("_k2"))
+    key = [F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, F.lit("sim"), id_col).alias("_k2")]
+    d = docs.select("*", *key).join(materialize(stay, "jac-stay"), ["_k1", "_k2"])
+    one = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_k1"))
+    return d.withColumn("_one", one).where("_one = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
