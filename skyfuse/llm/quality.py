@@ -21,7 +21,7 @@ FIT_ROWS = 8_000
 BITS = 22
 #: Least probability of the highest grade that a kept text has.
 KEEP_FROM = 0.6
-EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
+EDGE = re.compile(r"\W*")
 
 
 MASK = (1 << BITS) - 1
@@ -36,7 +36,10 @@ def word_features(word: str) -> tuple[int, ...]:
     if word.isalpha():
         head, core, tail = "", word, ""
     else:
-        head, core, tail = EDGE.match(word[:200]).groups()
+        head, end = EDGE.match(word)[0], len(word)
+        while end > len(head) and not (word[end - 1].isalnum() or word[end - 1] == "_"):
+            end -= 1
+        core, tail = word[len(head) : end], word[end:]
     low = core.lower()
     out = [zlib.crc32(low.encode("utf-8", "surrogatepass")) & MASK] if low else []
     if len(low) > 5:
