@@ -31,19 +31,14 @@ def encoded(docs: DataFrame, tokenizer_path: str, eos: int, id_col: str = "doc_i
         from .token_cache import tokenizer
 
         tok, part, at = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end, narrow = np.array([eos], dtype="<u4").tobytes(), tok.tok.get_vocab_size() <= 1 << 16 and eos < 1 << 16
+        kind = "<u2" if tok.tok.get_vocab_size() <= 1 << 16 and eos < 1 << 16 else "<u4"
         for batch in batches:
-            rows = ([], [], [], [])
-            size = done = 0
-            for k, text in enumerate(batch.column(1)):
-                ids = tok.encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                for col, v in zip(rows, (part, at, n, np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids), strict=True):
-                    col.append(v)
-                at, size = at + n, size + len(ids)
-                if size > 16 << 20 or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(rows[0])), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], ["doc_id", "part", "local", "n", "ids"])
-                    done, size, rows = k + 1, 0, ([], [], [], [])
+            for first, rows, ids, n in tok.batches(batch, 1, eos):
+                to = np.cumsum(n)
+                raw = ids.astype(kind, copy=False)
+                ends = pa.py_buffer(np.r_[0, to * raw.itemsize].astype("<i4"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.full(rows, part, np.int64)), pa.array(at + to - n), pa.array(n), pa.Array.from_buffers(pa.binary(), rows, [None, ends, pa.py_buffer(raw)])], ["doc_id", "part", "local", "n", "ids"])
+                at += int(to[-1])
 
     return d.mapInArrow(run, "doc_id long, part long, local long, n long, ids binary")
 

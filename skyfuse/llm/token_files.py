@@ -62,14 +62,17 @@ class Writer:
         return len(data)
 
     def _flush(self, least: int) -> None:
+        """Writes whole blocks of what is held, and the rest too if that is ``least`` ids or more."""
         import numpy as np
 
-        while self.n_held >= least and self.n_held:
-            ids = np.concatenate(self.held)
-            now, rest = ids[: self.block], ids[self.block :]
-            at = self.at
-            self.blocks.append([at, len(now), [self._put(self.zip.compress(p)) for p in to_planes(now, self.kind)]])
-            self.held, self.n_held = [rest], len(rest)
+        if self.n_held < least or not self.n_held:
+            return
+        ids, at = np.concatenate(self.held), 0
+        while len(ids) - at >= min(least, self.block) and at < len(ids):
+            now, place = ids[at : at + self.block], self.at
+            self.blocks.append([place, len(now), [self._put(self.zip.compress(p)) for p in to_planes(now, self.kind)]])
+            at += len(now)
+        self.held, self.n_held = [ids[at:]], len(ids) - at
 
     def _flush_docs(self) -> None:
         import numpy as np
@@ -82,17 +85,14 @@ class Writer:
             self.runs.append([at, len(ids), [self._put(self.zip.compress(p)) for p in parts]])
             self.docs = ([], [])
 
-    def add(self, doc_id, ids: bytes) -> None:
-        import numpy as np
-
-        a = np.frombuffer(ids, "<u4")
-        self.held.append(a)
-        self.n_held += len(a)
-        self.docs[0].append(doc_id)
-        self.docs[1].append(len(a))
-        self.n_ids, self.n_docs = self.n_ids + len(a), self.n_docs + 1
-        if self.n_held >= self.block:
-            self._flush(self.block)
+    def add_many(self, doc_ids: list, sizes: list[int], ids) -> None:
+        """Documents, the ids of all of them one after the other."""
+        self.held.append(ids)
+        self.n_held += len(ids)
+        self.docs[0].extend(doc_ids)
+        self.docs[1].extend(sizes)
+        self.n_ids, self.n_docs = self.n_ids + len(ids), self.n_docs + len(sizes)
+        self._flush(self.block)
         if len(self.docs[0]) >= DOC_RUN:
             self._flush_docs()
 
@@ -168,21 +168,20 @@ def write_files(docs: DataFrame, tokenizer_path: str, eos: int = 2, folder: str
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         from .token_cache import tokenizer
 
-        shard, writer, end = TaskContext.get().partitionId(), None, np.array([eos], dtype="<u4").tobytes()
+        shard, writer, tok = TaskContext.get().partitionId(), None, tokenizer(tokenizer_path)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if writer is None:
-                    store, top = _open(folder)
-                    store.create_dir(top, recursive=True)
-                    name, tok = f"{top}/.{uuid.uuid4().hex}", tokenizer(tokenizer_path)
-                    out = store.open_output_stream(name)
-                    writer = Writer(out, kind, block, level)
-                writer.add(doc, tok.encode(text.as_py() or "") + end)
+            if batch.num_rows and writer is None:
+                store, top = _open(folder)
+                store.create_dir(top, recursive=True)
+                name = f"{top}/.{uuid.uuid4().hex}"
+                out = store.open_output_stream(name)
+                writer = Writer(out, kind, block, level)
+            for first, rows, ids, n in tok.batches(batch, 1, eos):
+                writer.add_many(batch.column(0).slice(first, rows).to_pylist(), n.tolist(), ids)
         if writer is not None:
             writer.close()
             out.close()

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skyfuse.llm import packing, token_files
+from skyfuse.llm import packing, token_cache, token_files
 from skyfuse.llm.token_cache import SPACE, CachedTokenizer
 
 from . import cases
@@ -37,6 +37,54 @@ def test_cache_equals_library(path):
 
     run()
 
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.lists(chars, max_size=30).map("".join), st.lists(st.sampled_from(["the", "The", "cat,", "it's", "naïve", "été.", "$5", "##", "\n", "a\nb", "<|endoftext|>", "x--y", "Ω", "12", "don't!", ""]), max_size=20).map(" ".join)), min_size=1, max_size=6))
+    def many(texts):
+        import pyarrow as pa
+
+        ids, n = mine.encode_many(pa.array(["before", *texts], pa.string()).slice(1), 7)
+        want = [[*theirs.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+    many()
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_full_caches_and_slices(path, monkeypatch):
+    """Caches that overflow all the time, texts of more than one slice, and batches of many slices change nothing."""
+    import pyarrow as pa
+
+    for name, value in (("KEEP", 5), ("SLICE", 7), ("AT_ONCE", 300), ("LONG", 120)):
+        monkeypatch.setattr(token_cache, name, value)
+    mine, theirs = CachedTokenizer(path), _toks[path]
+    rng = np.random.default_rng(5)
+    words = ["the", "cat,", "it's", "Été", "a\nb", "x  y", "mmm", "naïve.", "Ω", "12", "zz"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(60)]
+    for _ in range(2):
+        got = []
+        for first, rows, ids, n in mine.batches(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0, 3):
+            assert first == len(got) and rows == len(n)
+            ends = np.cumsum(n)
+            got += [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)]
+        assert got == [[*theirs.encode(t, add_special_tokens=False).ids, 3] for t in texts]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_writer_in_any_portions(block):
+    """Files hold the same documents however these are handed over; a document may span many blocks."""
+    import io
+
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 50_000, int(k)).astype("<u4") for k in (3, 0, 5000, 1, 999, 1001, 0, 40)]
+    for cuts in ([0, 8], [0, 1, 2, 3, 8], list(range(9))):
+        out = io.BytesIO()
+        w = token_files.Writer(out, block=block)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            w.add_many(list(range(a, b)), [len(d) for d in docs[a:b]], np.concatenate(docs[a:b]))
+        w.close()
+        got = list(token_files.Reader(out, out.tell()).documents())
+        assert [d for d, _ in got] == list(range(8)) and all((a == b).all() for (_, a), b in zip(got, docs, strict=True))
+
 
 @pytest.mark.parametrize("length", [16, 2048])
 def test_pack(spark, length):
