@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a query's shuffle files go when it ends; folder of the tables under the shared root.
+CLEANUP, ROOT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "skyfuse"
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (clusters: the same path, or --py-files)."""
@@ -34,7 +37,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared root, deleted when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/skyfuse/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{ROOT}/{name}-{uuid.uuid4().hex[:12]}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(jpath)
@@ -43,8 +46,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are no longer needed once it is done, and go with it.
+    """
     spark = df.sparkSession
     path = f"{new_folder(spark, name)}/rows"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, when nothing reads them any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rsplit("/rows/", 1)[0] for f in t.inputFiles() if f"{ROOT}/" in f}:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
