@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfuse.llm import mixing, packing, quality, secret_scan, shingle_dedup
+from skyfuse.llm import mixing, packing, quality, secret_scan, simhash
 from skyfuse.llm.common import documents, importable, materialize
 
 
@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest doc_id."""
     importable(spark)
-    return shingle_dedup.deduplicated(docs, words=5, least=(4, 5))
+    return simhash.similar_deduplicated(docs, words=5, least=(4, 5))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
