@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline as cp
-from skyfuse.llm import shingle_dedup
+from skyfuse.llm import simhash
 
 from . import cases
 from .test_near_duplicates import roots
@@ -60,6 +62,40 @@ def test_stage_against_brute_force(spark):
 
 def test_order_of_shingles_has_no_bearing(spark, monkeypatch):
     rows = edited_rows()
-    monkeypatch.setattr(shingle_dedup, "COMMON", 0)
-    got = shingle_dedup.deduplicated(spark.createDataFrame(rows, cases.SCHEMA))
+    monkeypatch.setattr(simhash, "COMMON", 0)
+    got = simhash.similar_deduplicated(spark.createDataFrame(rows, cases.SCHEMA))
+    assert sorted((r.doc_id for r in got.collect()), key=str) == staying(rows)
+
+
+def test_buckets_cut_into_parts(spark, monkeypatch):
+    rows = edited_rows()
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    got = simhash.similar_deduplicated(spark.createDataFrame(rows, cases.SCHEMA).repartition(3))
     assert sorted((r.doc_id for r in got.collect()), key=str) == staying(rows)
+
+
+def test_pairs_of_runs():
+    """The bit-sliced comparison against all pairs of each run; marked rows pair at any distance."""
+    rng = np.random.default_rng(4)
+    for radius in (0, 2, 13, 26):
+        runs = np.sort(rng.integers(0, 9, 150))
+        base = rng.integers(0, 1 << 62, 150)
+        near = base[rng.integers(0, 40, 150)] ^ (1 << rng.integers(0, 62, 150)) ^ (1 << rng.integers(0, 62, 150))
+        marked = rng.random(150) < 0.1
+        got = {(int(i), int(j)) for at, to in simhash.pairs_within(near, runs, radius, marked) for i, j in zip(at, to, strict=True)}
+        want = {(i, j) for i in range(150) for j in range(i + 1, 150) if runs[i] == runs[j] and (marked[i] or bin(int(near[i]) ^ int(near[j])).count("1") <= radius)}
+        assert got == want
+
+
+def test_fingerprint_of_a_set_tells_similarity():
+    """Sets of Jaccard 0.8 stay far within the radius that candidates have."""
+    rng = np.random.default_rng(6)
+    far = []
+    for n in (24, 60, 500):
+        for _ in range(300):
+            a = rng.integers(-(1 << 62), 1 << 62, n)
+            b = a.copy()
+            cut = n // 9  # (n - cut) / (n + cut) = 0.8
+            b[:cut] = rng.integers(-(1 << 62), 1 << 62, cut)
+            far.append(bin(simhash._votes(a) ^ simhash._votes(b)).count("1"))
+    assert max(far) <= simhash.WIDE - 3 and 8 < np.mean(far) < 12
