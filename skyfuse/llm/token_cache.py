@@ -19,9 +19,9 @@ from itertools import islice
 SPACE = "\t-\r \x85\xa0  -     　"
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,;:!?|#$%&*"
-KEEP, LONGEST, SLICE = 400_000, 48, 200_000
+KEEP, LONGEST, SLICE = 250_000, 48, 200_000
 #: Bytes of text that are encoded at once; a text of more than LONG characters is encoded by itself, slice by slice.
-AT_ONCE, LONG = 24 << 20, 1 << 20
+AT_ONCE, LONG = 8 << 20, 1 << 20
 
 _loaded: dict[str, CachedTokenizer] = {}
 
