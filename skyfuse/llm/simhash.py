@@ -11,7 +11,8 @@ at once, and a shift is abandoned as soon as every pair exceeds the radius.
 under any common order of these, two sets of the similarity or more share one among the first n - ceil(least n) + 1 of
 each, so no such pair misses the other.  The order puts shingles that are common in a bounded sample last, which keeps
 the buckets small; what it is has no bearing on the result.  In a bucket the same bit-sliced comparison, at a radius
-far over that of similar sets, tells the pairs worth verifying, and these are verified on the whole sets.
+far over that of similar sets, tells the pairs worth looking at; a sketch thins them out, and the rest are verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import drop
 from .common import byte_words, materialize
 from ..operators.components import components
 
@@ -33,8 +35,10 @@ SHORT_RUN = 48
 SAMPLE, COMMON, OFTEN = 2_000, 50_000, 4
 #: Sets of fewer shingles are verified at any distance: their fingerprints are made of too few votes.
 FEW = 24
-#: Sets of Jaccard 0.8 lie 10 bits apart (standard deviation 2.9), so this is 5.7 deviations off; unrelated ones lie at 32.
+#: Sets of Jaccard 0.8 lie 10 bits of 64 apart (standard deviation 2.9), so this is 5.7 deviations off; unrelated ones lie at 32.
 WIDE = 26
+#: Bins of the sketch that pairs are told by before they are verified, and the standard deviations that it may err.
+BINS, ERR = 128, 5.5
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -306,7 +310,7 @@ def _common(docs: DataFrame, words: int, id_col: str, text_col: str):
 
 
 def _sets(docs: DataFrame, words: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, k1, k2, s, n, fp, first): k1 and k2 a hashed key of id and text, s a hash of the set of shingles, n its size, fp its fingerprint, first its prefix."""
+    """Rows (doc_id, k1, k2, s, n, fp, bins, first): k1 and k2 a hashed key of id and text, s a hash of the set of shingles, n its size, fp its fingerprint, bins its sketch, first its prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, words, id_col, text_col))
 
     def run(batches):
@@ -323,11 +327,11 @@ def _sets(docs: DataFrame, words: int, least: tuple[int, int], id_col: str, text
                 fp = np.array([_votes(x) for x in sets], np.uint64).view(np.int64)
                 first = [prefix(x, sent.value, least) for x in sets]
                 ends = pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(s), pa.array([len(x) for x in sets], pa.int32()), pa.array(fp), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first)))], ["doc_id", "k1", "k2", "s", "n", "fp", "first"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(s), pa.array([len(x) for x in sets], pa.int32()), pa.array(fp), pa.array([sketch(x) for x in sets], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first)))], ["doc_id", "k1", "k2", "s", "n", "fp", "bins", "first"])
                 k += 256
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_key(id_col, text_col, "k1", "k2"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "doc_id long, k1 long, k2 long, s long, n int, fp long, first array<long>")
+    return d.mapInArrow(run, "doc_id long, k1 long, k2 long, s long, n int, fp long, bins binary, first array<long>")
 
 
 def _votes(hashes) -> int:
@@ -340,6 +344,16 @@ def _votes(hashes) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def sketch(hashes) -> bytes:
+    """One-permutation MinHash of a sorted set: for each of BINS values of the low bits, 16 bits of the least hash (0: none)."""
+    import numpy as np
+
+    out, h = np.zeros(BINS, "<u2"), hashes.view(np.uint64)
+    bins, first = np.unique(h % np.uint64(BINS), return_index=True)
+    out[bins.astype(np.int64)] = np.maximum(1, h[first] >> np.uint64(20) & np.uint64(0xFFFF))
+    return out.tobytes()
+
+
 def _met(rows: DataFrame) -> DataFrame:
     """(g, s, n, fp, lo, hi): the distinct sets that meet another at shingle g of both prefixes, with the least and greatest set there."""
     p = rows.where("n > 0").select("s", "n", "fp", "first").dropDuplicates(["s"]).select("s", "n", "fp", F.explode("first").alias("g"))
@@ -393,9 +407,29 @@ def _candidates(here: DataFrame, least: tuple[int, int], radius: int, bucket: in
     return by_runs(d.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "s"), 3, compare).distinct()
 
 
+def _likely(pairs: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches agree in a share of bins that sets of Jaccard ``least`` may have."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (2, 3))
+            some, alike = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
+            room = ERR * np.sqrt(least * (1 - least) * np.maximum(some, 1))
+            yield batch.select(["a", "b"]).filter(pa.array(alike >= least * some - room))
+
+    need = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    some = bins.join(need, "s", "left_semi").groupBy("s").agg(F.first("bins").alias("bins"))  # one set, one sketch
+    both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
     """Those of the pairs (a, b) of sets that have Jaccard ``least`` or more, in whole numbers over the whole sets."""
     p, q = least
+    pairs = materialize(_likely(pairs, rows.select("s", "bins"), p / q), "jac-near")
     need = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     lead = rows.select("s", "k1", "k2").join(need, "s", "left_semi").groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("f"))
     lead = lead.select("s", F.col("f.k1").alias("k1"), F.col("f.k2").alias("k2"))
@@ -417,7 +451,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, le
     x, y = sets.toDF("a", "ga"), sets.toDF("b", "gb")
     both, of = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
     # both / (of - both) >= p / q
-    return materialize(pairs.join(x, "a").join(y, "b").where(both * (p + q) >= p * of).select("a", "b"), "jac-links")
+    links = materialize(pairs.join(x, "a").join(y, "b").where(both * (p + q) >= p * of).select("a", "b"), "jac-links")
+    drop(sets, pairs)
+    return links
 
 
 def similar_deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,8 +461,9 @@ def similar_deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int]
 
     The one with the smallest id stays (nulls last), all columns as they are; of rows alike in id and text one stays.
     Null texts are empty; texts without words are alike, and a text of fewer words is one shingle.  Sets and shingles
-    are known by 64-bit hashes.  A pair is verified within ``radius`` bits of its fingerprints (64-bit SimHash of the
-    distinct shingles), or at any distance if it has fewer than FEW shingles.
+    are known by 64-bit hashes.  A pair is verified if it lies within ``radius`` bits of the 64-bit SimHash of its
+    distinct shingles (at any distance with fewer than FEW shingles) and its sketches leave room for the similarity;
+    a pair of just that similarity is passed over with a chance of about 1e-8 by either.
     Each set is held against the nearest of two hubs first, which collapses groups of copies without writing their
     pairs; then buckets that still hold several components are compared whole.
     """
@@ -434,8 +471,11 @@ def similar_deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int]
     met = materialize(_met(rows), "jac-met")
     links = _verified(materialize(_stars(met, least, radius), "jac-stars"), docs, rows, words, least, id_col, text_col)
     here = materialize(_open(met, components(links)), "jac-open")
-    more = materialize(_candidates(here, least, radius), "jac-pairs")
-    more = _verified(more, docs, rows, words, least, id_col, text_col)
+    drop(met)
+    pairs = materialize(_candidates(here, least, radius), "jac-pairs")
+    drop(here)
+    more = _verified(pairs, docs, rows, words, least, id_col, text_col)
+    drop(pairs)
     parts = components(links.unionByName(more))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("f")
     by_set = rows.groupBy("s").agg(first).join(parts.withColumnRenamed("node", "s"), "s", "left")
