@@ -1,10 +1,10 @@
 """Mixing sources to target weights with DataFrame functions only.
 
 Each source's documents form one stream of words, cut into fixed-length blocks.  A source's target is its
-water-filled share of ``share`` times all words.  Its slots (one block each, over as many passes as its target
-needs) take the blocks in the order of a pseudorandom permutation per source and pass, and one permutation over
-the slots of all sources deals them to equal output shards: the source counts of a shard are a multinomial draw
-given the totals, so every target is met to the word.  Blocks are joined to slots by index.
+water-filled share of ``share`` times all words, and takes its slots (one block each) over as many passes as it needs.
+Each source's slots are drawn into the output shards, a multinomial draw of its counts with its total kept, so that
+every target is met to the word.  The counts' prefix sums give each shard its run of the source's slots, which a
+pseudorandom permutation for the source and pass maps to blocks; blocks are joined to slots by index.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, n_words
 
 ROUNDS = 24
-SLOT_CHUNK = 1 << 14
+SLOT_CHUNK = 1 << 12
+#: Up to so many sources (a hundred bytes each) are broadcast to their shards' counts.
+MOST_SOURCES = 100_000
 
 
 def permuted(x: Column, n: Column, key: list[Column], inverse: bool = False) -> Column:
@@ -72,7 +74,7 @@ def _plan(rows: DataFrame, weights, share, cap, block: int, shard_slots: int, se
     placed = placed.select("doc_id", "p.source", "size", "thash", "dup", "p.chunk", (F.col("base") + F.col("local")).alias("off"), "sid", "source_size", "target")
 
     n, b, q, size = F.col("n"), F.lit(block), F.col("quota"), F.col("source_size")
-    s = src.where("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("quota"))
+    s = src.where("source_size > 0").select("sid", "source", "source_size", F.round("target").cast("long").alias("quota"))
     s = s.withColumn("n", F.expr(f"(source_size + {block - 1}) div {block}"))
     s = s.withColumn("passes", F.expr("quota div source_size")).withColumn("rest", q - F.col("passes") * size)
     s = s.withColumn("short", size - (n - 1) * b)  # words of the last block
@@ -82,18 +84,36 @@ def _plan(rows: DataFrame, weights, share, cap, block: int, shard_slots: int, se
     slots = F.when(rest <= before, F.expr(f"(rest + {block - 1}) div {block}")).when(rest <= before + short, at + 1).otherwise(F.expr(f"(rest - short + {block - 1}) div {block}") + 1)
     cut = F.when(rest <= before, rest - (F.col("tail") - 1) * b).when(rest <= before + short, rest - before).otherwise(rest - short - (F.col("tail") - 2) * b)
     s = s.withColumn("tail", slots).withColumn("cut", cut).withColumn("slots", F.col("passes") * n + F.col("tail"))
-    first = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("first", F.coalesce(F.sum("slots").over(first), F.lit(0)).cast("long")).withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
     s = s.where("slots > 0")
-    step = SLOT_CHUNK
-    s = s.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long")))).repartition(F.col("sid"), F.col("from"))
-    s = s.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("slots")) - 1)))
-    s = s.withColumn("pass", F.expr("k div n")).withColumn("block", permuted(F.pmod(F.col("k"), n), n, [F.lit(seed), F.col("sid"), F.col("pass")]))
+    every = s.agg(F.sum("slots")).first()[0] or 0
+    shards, tasks = max(1, -(-every // shard_slots)), max(1, min(-(-every // (4 * SLOT_CHUNK)), 1 << 15))
+    counts = materialize(_drawn(s, shards, tasks, seed), "mix-counts")
+    run = F.sum("slots").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    runs = counts.withColumn("from", F.coalesce(run, F.lit(0)).cast("long")).withColumnRenamed("slots", "count")
+    got = runs.join(F.broadcast(s) if s.count() < MOST_SOURCES else s, "sid").repartition(tasks, "sid", "shard")
+    got = got.withColumn("k", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)))
+    got = got.withColumn("pass", F.expr("k div n")).withColumn("block", permuted(F.pmod(F.col("k"), n), n, [F.lit(seed), F.col("sid"), F.col("pass")]))
     full = F.when(F.col("block") == n - 1, short).otherwise(b)
-    s = s.withColumn("words", F.when((F.col("k") == F.col("slots") - 1) & (F.col("tail") > 0), F.col("cut")).otherwise(full))
-    s = s.withColumn("slot", permuted(F.col("first") + F.col("k"), F.col("all_slots"), [F.lit(seed), F.lit("shards")]))
-    used = s.select("sid", "block", "pass", "words", F.expr(f"slot div {shard_slots}").alias("shard"), F.expr(f"slot % {shard_slots}").alias("slot"))
-    return placed, used
+    got = got.withColumn("words", F.when((F.col("k") == F.col("slots") - 1) & (F.col("tail") > 0), F.col("cut")).otherwise(full))
+    return placed, got.select("sid", "block", "pass", "words", "shard", "source")
+
+
+def _drawn(s: DataFrame, shards: int, tasks: int, seed: int) -> DataFrame:
+    """(sid, shard, slots): how many of a source's slots each shard draws; a chunk of slots draws in one task, and draws add up before they move."""
+    step = F.lit(SLOT_CHUNK).cast("long")
+    d = s.select("sid", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, step)).alias("from")).repartition(tasks, "sid", "from")
+    d = d.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("slots")) - 1)))
+    return d.groupBy("sid", F.pmod(F.xxhash64(F.lit(seed), F.lit("shards"), "sid", "k"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("slots"))
+
+
+def shard_counts(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 512, shard_slots: int = 1024, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix by output shard: (shard, source, blocks, words) that it takes of each source; same draws as ``allocate`` and ``mixed_documents``."""
+    used = _plan(_sized(docs, id_col, text_col, source_col), weights, share, cap, block, shard_slots, seed)[1]
+    return used.groupBy("shard", "source").agg(F.count("*").alias("blocks"), F.sum("words").alias("words"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("thash"), F.lit(0).alias("dup"))
 
 
 def _pieces(placed: DataFrame, block: int) -> DataFrame:
@@ -110,7 +130,7 @@ def allocate(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     Null texts hold no words and null sources are one source, the last.  Repeated rows are rows of their own.  An
     empty table gives an empty result, a source without words target 0.  Only the three named columns are read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("thash"), F.lit(0).alias("dup"))
+    rows = _sized(docs, id_col, text_col, source_col)
     placed, used = _plan(rows, weights, share, cap, block, shard_slots, seed)
     uses = used.groupBy("sid", "block").agg(F.count("*").alias("uses"), F.min("words").alias("least"))
     # the planner takes exploded slots for as small as the sources they come from; they grow with the input
@@ -131,23 +151,23 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     that the mix doesn't take, or that hold no words, don't come.  Repeated rows are rows of their own.
     ``n_chars_col`` is set to the new length where it exists.
     """
-    key = [F.xxhash64(id_col, source_col, text_col).alias("_k1"), F.xxhash64(text_col, F.lit("mix"), source_col, id_col).alias("_k2")]
+    key = [F.xxhash64(id_col, source_col, text_col).alias("k1"), F.xxhash64(text_col, F.lit("mix"), source_col, id_col).alias("k2")]
     rows = docs.select(*key, F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    rows = rows.groupBy("_k1", "_k2", "source", "size").count().withColumn("dup", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
-    rows = rows.select(F.col("_k1").alias("doc_id"), "source", "size", F.col("_k2").alias("thash"), "dup")
+    rows = rows.groupBy("k1", "k2", "source", "size").count().withColumn("dup", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))))
+    rows = rows.select(F.col("k1").alias("doc_id"), "source", "size", F.col("k2").alias("thash"), "dup")
     placed, used = _plan(rows, weights, share, cap, block, shard_slots, seed)
     got = _pieces(placed, block).join(used.select("sid", "block", "pass", "words").hint("merge"), ["sid", "block"])
     got = got.withColumn("end", F.least(F.col("to"), F.col("words"))).where("end > from")
     span = F.struct(F.col("doc_from").alias("at"), (F.col("end") - F.col("from")).alias("n"))
-    got = got.groupBy("doc_id", "thash", "size", "dup", "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    got = got.groupBy(F.col("doc_id").alias("_k1"), F.col("thash").alias("_k2"), F.col("size").alias("_size")).agg(F.collect_list(F.struct("dup", "pass", "spans")).alias("_copies"))
-    alike = W.partitionBy("_k1", "_k2").orderBy("_k1")
-    d = docs.select("*", *key).withColumn("_dup", F.row_number().over(alike)).join(got.hint("merge"), ["_k1", "_k2"])
-    d = d.withColumn("_c", F.explode(F.filter("_copies", lambda c: c["dup"] == F.col("_dup"))))
-    whole = F.aggregate("_c.spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]) == F.col("_size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
+    got = got.groupBy(F.col("doc_id").alias("k1"), F.col("thash").alias("k2"), "dup", "size", "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    # the row stands in a struct, so that no column of it can clash; repeats of a row are numbered, and each takes its own spans
+    alike = W.partitionBy("k1", "k2").orderBy("k1")
+    d = docs.select(F.struct("*").alias("row"), *key).withColumn("dup", F.row_number().over(alike)).join(got.hint("merge"), ["k1", "k2", "dup"])
+    text = F.col("row")[text_col]
+    whole = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]) == F.col("size")
+    words = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
     # the words stand in an array of one, so that they are cut once for a row and not once for a span
-    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_c.spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))[0]
-    d = d.withColumn("_text", F.when(whole, F.col(text_col)).otherwise(cut))
-    new = {text_col: F.col("_text")} | ({n_chars_col: F.length("_text").cast(docs.schema[n_chars_col].dataType)} if n_chars_col in docs.columns else {})
-    return d.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))[0]
+    d = d.withColumn("new", F.when(whole, text).otherwise(cut))
+    new = {text_col: F.col("new")} | ({n_chars_col: F.length("new").cast(docs.schema[n_chars_col].dataType)} if n_chars_col in docs.columns else {})
+    return d.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
