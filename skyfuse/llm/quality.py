@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the fit uses at most (those of the smallest hash), a documented bound.
-FIT_ROWS = 8_000
+FIT_ROWS = 12_000
 BITS = 22
 #: Least probability of the highest grade that a kept text has.
 KEEP_FROM = 0.6
@@ -179,7 +179,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on at most ``fit_rows`` labelled documents, those whose doc_id hashes smallest."""
+    """Fit on at most ``fit_rows`` labelled documents, those whose doc_id hashes smallest.
+
+    Label rows with a null are left out.  Of rows that share an id, documents or labels, one counts: the lowest grade,
+    then the smallest features.  Null and empty texts are rows without features.  Without labelled documents the model
+    has no weights, and its thresholds are -1 and 1.
+    """
     sample = graded(labels).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "grade").limit(fit_rows)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -191,7 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
             feats = [sorted(text_features(t.as_py(), of)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
-    got = d.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow()  # bounded by fit_rows
+    got = d.mapInArrow(run, "doc_id long, grade int, features array<int>")
+    one = F.min(F.struct("grade", "features")).alias("m")  # ids may repeat in documents
+    got = got.groupBy("doc_id").agg(one).select("doc_id", "m.grade", "m.features").toArrow()  # fit_rows at most
     got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     feats = got["features"].combine_chunks()
     return fit_ordinal(got["grade"].to_numpy(), feats.value_lengths().to_numpy(zero_copy_only=False), feats.flatten().to_numpy())

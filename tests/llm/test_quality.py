@@ -60,3 +60,54 @@ def test_bounded_fit(spark):
     labels = spark.createDataFrame([(k, int(g > 0), int(g == 1)) for k, _, g in rows], "doc_id long, quality int, toxic int")
     a, b = quality.fit(docs, labels, fit_rows=20), quality.fit(docs.repartition(3), labels.repartition(2), fit_rows=20)
     assert a.weights == b.weights and a.thresholds == b.thresholds
+
+
+def test_score_by_the_formula(spark):
+    """Score, probabilities and expected grade reckoned one by one from the weights and thresholds."""
+    rows = made(400, 7)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 1, 1, "") for k, t, _ in rows], cases.SCHEMA)
+    labels = spark.createDataFrame([(k, int(g > 0), int(g == 1)) for k, _, g in rows], "doc_id long, quality int, toxic int")
+    m = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.score(docs, m).collect()}
+    low, high = (np.exp(-np.logaddexp(0, -t)) for t in (0.0, 1.0))  # the logistic, written another way
+    assert low == 0.5 and abs(high - 0.7310585786) < 1e-9
+    for k, t, _ in rows:
+        feats = set()
+        for w in t.split():
+            feats |= set(quality.word_features(w))
+        ratios = quality.text_features(t, quality.Features()) - feats
+        z = sum(m.weights.get(f, 0.0) for f in feats | ratios)
+        below = [np.exp(-np.logaddexp(0, z - x)) for x in m.thresholds]
+        p = np.diff([0.0, *below, 1.0])
+        r = got[k]
+        assert abs(r.score - z) < 1e-9 and abs(r.tail_prob - p[2]) < 1e-9 and abs(r.expected_grade - (p[1] + 2 * p[2])) < 1e-9
+        assert r.keep == (p[2] >= quality.KEEP_FROM)
+
+
+def test_fit_is_the_better_likelihood(spark):
+    """The fitted weights and thresholds are likelier than thresholds alone, and than weights moved off."""
+    rows = made(300, 8)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 1, 1, "") for k, t, _ in rows], cases.SCHEMA)
+    labels = spark.createDataFrame([(k, int(g > 0), int(g == 1)) for k, _, g in rows], "doc_id long, quality int, toxic int")
+    m = quality.fit(docs, labels)
+    grade = {k: g for k, _, g in rows}
+    of = quality.Features()
+    feats = {k: quality.text_features(t, of) for k, t, _ in rows}
+
+    def loss(model):
+        return -sum(np.log(max(1e-12, model.probabilities(model.score(feats[k]))[g])) for k, g in grade.items())
+
+    share = np.cumsum([sum(g == x for g in grade.values()) / len(grade) for x in (0, 1)])
+    alone = quality.OrdinalModel({}, tuple(np.log(share / (1 - share)).tolist()))
+    half = quality.OrdinalModel({f: w / 2 for f, w in m.weights.items()}, m.thresholds)
+    assert loss(m) < 0.3 * loss(alone) and loss(m) < loss(half)
+
+
+def test_repeated_ids_stay_bounded(spark):
+    rows = made(30, 3)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 1, 1, "") for k, t, _ in rows] * 5 + [(0, "other text", "en", "s", 0, 1, 1, "")], cases.SCHEMA)
+    once = spark.createDataFrame([(k, t, "en", "s", 0, 1, 1, "") for k, t, _ in rows[1:]], cases.SCHEMA)
+    labels = spark.createDataFrame([(k, int(g > 0), int(g == 1)) for k, _, g in rows] * 2, "doc_id long, quality int, toxic int")
+    a = quality.fit(docs, labels.where("doc_id > 0"))
+    b = quality.fit(once, labels.where("doc_id > 0").distinct())
+    assert a.weights == b.weights and a.thresholds == b.thresholds
