@@ -196,7 +196,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96,
 
     Largest inner product first, ties to the smaller id.  Rows with a null id, and vectors that are null, zero, of
     another length than most, or hold null or non-finite components, take no part.  Rows that share the query's id
-    are its own, and of repeated query rows the lists are merged by id.  ``recall`` is what the calibration queries must reach; 0.9 is asked for.  An empty table gives none.
+    are its own, and of repeated query rows the lists are merged by id.  ``recall`` is
+    what the calibration queries must reach; 0.9 is asked for.  A query goes on past the calibrated visits until its
+    leaves hold more than ``k`` rows.  An empty table gives none.
     """
     import numpy as np
 
@@ -218,7 +220,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.assign(x) if len(x) else [], pa.int32())], ["vec_id", "vec", "leaf"])
 
     index = materialize(v.mapInArrow(leaf, "vec_id long, vec array<double>, leaf int"), "ann-index")
-    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec")
+    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec").distinct()
     visits = _calibrated(index, queries, tree, k, recall)
     sizes = [0] * tree.n_leaves
     for no, count in index.groupBy("leaf").count().collect():  # MOST_LEAVES at most
@@ -231,12 +233,12 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96,
         first.append(shard)
         parts.append(p)
         shard, room = (shard + p, SHARD_ROWS) if p > 1 else (shard, room - n)
-    places = spark.sparkContext.broadcast((first, parts))
+    places = spark.sparkContext.broadcast((first, parts, sizes))
 
     def place(batches):
         import pyarrow as pa
 
-        first, parts = (np.array(x) for x in places.value)
+        first, parts = (np.array(x) for x in places.value[:2])
         for b in batches:
             no, salt = b.column(2).to_numpy(), b.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(first[no] + salt % parts[no], pa.int32()), pa.array(np.zeros(len(no), np.int32)), b.column(0), b.column(1), pa.array(no[:, None].tolist(), pa.list_(pa.int32()))], ["shard", "kind", "id", "vec", "leaves"])
@@ -244,7 +246,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96,
     def route(batches):
         import pyarrow as pa
 
-        t, (first, parts) = sent.value, places.value
+        t, (first, parts, sizes) = sent.value, places.value
         for b in batches:
             x = _matrix(b.column(1))
             if not len(x):
@@ -252,7 +254,12 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.96,
             out = []
             for i, p in enumerate(x @ t.centers[:, :-1].T):
                 to: dict[int, list[int]] = {}
-                for no in t.leaves(p.tolist(), visits):
+                go = visits
+                leaves = t.leaves(p.tolist(), go)
+                while sum(sizes[no] for no in leaves) <= k and go < t.n_leaves:  # the queue goes on until k others can be found
+                    go = min(2 * go, t.n_leaves)
+                    leaves = t.leaves(p.tolist(), go)
+                for no in leaves:
                     for s in range(first[no], first[no] + parts[no]):
                         to.setdefault(s, []).append(no)
                 out += [(s, i, nos) for s, nos in to.items()]
