@@ -237,7 +237,8 @@ def deduplicated_spans(docs: DataFrame, span: int = 50, id_col: str = "doc_id",
     first = materialize(shared.groupBy("a", "s").agg(F.min("d").alias("m")), "sub-first")
     marked = shared.join(first, ["a", "s"])
     # copies of a segment of a smaller document go whole; first ones of an anchor with others are looked at
-    info = marked.where("d > m or many").groupBy("d", "k").agg(F.collect_list(F.struct("at", "n", (F.col("d") > F.col("m")).alias("whole"), "a", "s")).alias("segs"))
+    info = marked.where("d > m or many").select("d", "k", F.struct("at", "n", (F.col("d") > F.col("m")).alias("whole"), "a", "s").alias("seg"))
+    info = info.distinct().groupBy("d", "k").agg(F.collect_list("seg").alias("segs"))  # repeats of a row have its segments once
     joined = d.join(info, ["d", "k"], "left")
 
     def settle(batches):
@@ -293,7 +294,7 @@ def deduplicated_spans(docs: DataFrame, span: int = 50, id_col: str = "doc_id",
     if hot.head(1):
         got = got.unionByName(_by_window(pieces.join(F.broadcast(hot) if hot.count() < 100_000 else hot, "a", "left_semi"), span))
     got = materialize(got, "sub-matches")
-    hits = wait.select("doc_id", F.xxhash64("text").alias("k"), F.explode("open").alias("o")).select("doc_id", "k", "o.at", "o.a", "o.s").join(got, ["a", "s"])
+    hits = wait.select("doc_id", F.xxhash64("text").alias("k"), F.explode("open").alias("o")).select("doc_id", "k", "o.at", "o.a", "o.s").distinct().join(got, ["a", "s"])
     hits = hits.select("doc_id", "k", F.explode(F.transform("got", lambda g: F.struct((g["lo"] + F.col("at")).alias("lo"), (g["hi"] + F.col("at")).alias("hi")))).alias("g"))
     hits = hits.groupBy("doc_id", "k").agg(F.collect_list("g").alias("more"))
     last = wait.select("doc_id", F.xxhash64("text").alias("k"), "text", "spans").join(hits, ["doc_id", "k"], "left").select("doc_id", "text", "spans", "more")
