@@ -1,9 +1,11 @@
 """Exact BM25 top-k: inverted index per shard, block-max WAND pruning, lists merged by global statistics.
 
 A shard is one task's documents.  Its postings stand by term; documents form aligned blocks of BLOCK, and for each
-frequent term the largest impact in each block is kept.  A query adds up its rare terms exactly, bounds every block by
-its best such sum plus the frequent terms' block maxima, and scores blocks from the highest bound on, exactly, until
-no bound reaches the k-th score found.  Document frequencies, the number of documents and their mean length are those
+frequent term the largest impact in each block is kept.  A query adds up its rare terms exactly and bounds every block
+by its best such sum plus the frequent terms' block maxima.  The few blocks of the highest bounds give a first k-th
+score; then the cursors of all lists go through the documents in order, from pivot to pivot: a pivot is the next block
+whose bound reaches the k-th score, and everything before it is skipped unread.  Lists move block by block here, since
+a frequent term has postings in nearly every block.  Document frequencies, the number of documents and their mean length are those
 of the whole corpus, so the shards' lists merge exactly.  Terms are lower-cased words, known by a 64-bit hash.
 """
 
@@ -22,6 +24,8 @@ K1, B = 1.2, 0.75
 BLOCK, FREQUENT, SHARD, MOST = 64, 256, 8_192, 12_288
 #: A term in one of so many documents of the shard, or more, stands as a row.
 DENSE = 12
+#: Blocks of the highest bounds that are scored first; pivots that are scored at a time.
+SEEDS, PIVOTS = 12, 16
 #: Scores are compared and returned at this many decimals, so that the order of additions can't matter.
 DECIMALS = 6
 
@@ -156,12 +160,13 @@ class Shard:
         dense = self.dense[place]
         often = ~rare & (dense < 0)
         rows, weight, table, wide = row[often], idf[often], dense[dense >= 0], idf[dense >= 0]
-        order = np.argsort(-bound, kind="stable")
-        bound, slack = bound[order], 10.0**-DECIMALS
-        got_s, got_i, least, at, step, seen = np.zeros(0), np.zeros(0, np.int64), -np.inf, 0, 8, 0
-        while at < len(order) and bound[at] > 0 and bound[at] >= least - 2 * slack:
-            block = order[at : at + step]
-            block = block[bound[at : at + step] >= least - 2 * slack]
+        slack = 2 * 10.0**-DECIMALS
+        got_s, got_i, least, seen, at = np.zeros(0), np.zeros(0, np.int64), -np.inf, 0, 0
+        first = np.argsort(-bound, kind="stable")[:SEEDS]
+        first = first[bound[first] > 0]
+        bound[first], ahead = -np.inf, first
+        while len(ahead):
+            block = ahead
             seen += len(block)
             s = score.reshape(-1, BLOCK)[block]
             if len(table):
@@ -180,7 +185,9 @@ class Shard:
             best = np.lexsort((ids, -s))[:k]
             got_s, got_i = s[best], ids[best]
             least = got_s[-1] if len(got_s) == k else -np.inf
-            at, step = at + step, step * 2
+            # the next pivots: a few at a time, as each lot may raise the k-th score
+            ahead = at + np.flatnonzero((bound[at:] > 0) & (bound[at:] >= least - slack))[:PIVOTS]
+            at = ahead[-1] + 1 if len(ahead) else at
         return got_s, got_i, seen
 
 
