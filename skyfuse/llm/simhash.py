@@ -11,8 +11,7 @@ at once, and a shift is abandoned as soon as every pair exceeds the radius.
 under any common order of these, two sets of the similarity or more share one among the first n - ceil(least n) + 1 of
 each, so no such pair misses the other.  The order puts shingles that are common in a bounded sample last, which keeps
 the buckets small; what it is has no bearing on the result.  In a bucket the same bit-sliced comparison, at a radius
-far over that of similar sets, tells the pairs worth looking at; a sketch thins them out, and the rest are verified on
-the whole sets.
+far over that of similar sets, tells what is worth looking at, and that is settled on the whole sets.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ FEW = 24
 WIDE = 26
 #: Bins of the sketch that pairs are told by before they are verified, and the standard deviations that it may err.
 BINS, ERR = 128, 5.5
+#: Shingles of a group that one task settles (about 30 bytes each there).
+MOST_GRAMS = 4_000_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -122,7 +123,7 @@ def pairs_within(fps, run_ids, radius: int, any_far=None):
             yield at, at + shift
 
 
-def linked(fps, run_ids, radius: int):
+def linked(fps, run_ids, radius: int, any_far=None):
     """Spanning links (i, j) of the fingerprints within the radius inside each run of equal run_ids (both arrays in run order)."""
     import numpy as np
 
@@ -134,7 +135,7 @@ def linked(fps, run_ids, radius: int):
             i = label[i]
         return i
 
-    for at, to in pairs_within(fps, run_ids, radius):
+    for at, to in pairs_within(fps, run_ids, radius, any_far):
         for i, j in zip(at[label[at] != label[to]].tolist(), to[label[at] != label[to]].tolist(), strict=True):
             a, b = root(i), root(j)
             if a != b:
@@ -355,56 +356,147 @@ def sketch(hashes) -> bytes:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(g, s, n, fp, lo, hi): the distinct sets that meet another at shingle g of both prefixes, with the least and greatest set there."""
+    """(g, s, n, fp, size): the distinct sets that meet another at shingle g of both prefixes, and how many meet there."""
     p = rows.where("n > 0").select("s", "n", "fp", "first").dropDuplicates(["s"]).select("s", "n", "fp", F.explode("first").alias("g"))
-    at, me = W.partitionBy("g"), F.struct("s", "n", "fp")
-    return p.withColumn("lo", F.min(me).over(at)).withColumn("hi", F.max(me).over(at)).where("lo.s <> hi.s").select("g", "s", "n", "fp", "lo", "hi")
+    return p.withColumn("size", F.count("*").over(W.partitionBy("g"))).where("size > 1").select("g", "s", "n", "fp", "size")
 
 
-def _stars(met: DataFrame, least: tuple[int, int], radius: int) -> DataFrame:
-    """(a, b): each set with the nearest of the least and greatest sets that it meets, where one may be similar."""
-    p, q = least
-    c = met.select("s", "n", "fp", F.explode(F.array("lo", "hi")).alias("c")).where("s <> c.s")
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp")))
-    c = c.where((F.col("c.n") * q >= F.col("n") * p) & (F.col("n") * q >= F.col("c.n") * p) & ((far <= radius) | (F.col("n") < FEW)))
-    near = c.groupBy("s").agg(F.min(F.struct(far.alias("far"), F.col("c.s").alias("c"))).alias("m"))
-    return near.select(F.least("s", "m.c").alias("a"), F.greatest("s", "m.c").alias("b")).distinct()
+def _dealt(met: DataFrame, bucket: int | None) -> DataFrame:
+    """Buckets as runs (g, x, y); one of more than ``bucket`` (BUCKET) sets is cut into parts by hash, and every two parts meet in one task."""
+    bucket = bucket or BUCKET
+    d = met.withColumn("parts", F.expr(f"int((size + {bucket - 1}) div {bucket})")).withColumn("part", F.pmod(F.xxhash64("s"), "parts").cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    d = d.select("g", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "s", "n", "fp")
+    return d.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "s")
 
 
-def _open(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """(g, s, n, fp, root, size): buckets that hold more than one component, with their sizes."""
-    at = W.partitionBy("g")
-    here = met.select("g", "s", "n", "fp").join(parts.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    here = here.withColumn("r0", F.min("root").over(at)).withColumn("r1", F.max("root").over(at)).withColumn("size", F.count("*").over(at))
-    return here.where("r0 <> r1").drop("r0", "r1")
+def _links(met: DataFrame, radius: int, bucket: int | None = None) -> DataFrame:
+    """(a, b): links that span, in every bucket, what lies within the radius there, by bit-sliced comparison."""
 
+    def compare(runs, cols):
+        import numpy as np
+        import pyarrow as pa
 
-def _candidates(here: DataFrame, least: tuple[int, int], radius: int, bucket: int | None = None) -> DataFrame:
-    """(a, b): the pairs of different components in a bucket that may be similar, by bit-sliced comparison.
+        s, n, fp = cols
+        links = linked(fp, runs, radius, n < FEW)
+        if len(links):
+            i, j = s[links[:, 0]], s[links[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
-    A bucket of more than ``bucket`` (BUCKET) sets is cut into parts by hash, and every two parts meet in one task.
-    """
-    (p, q), bucket = least, bucket or BUCKET
-    parts = F.expr(f"int((size + {bucket - 1}) div {bucket})")
-    d = here.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("s"), "parts").cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    d = d.select("g", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "s", "n", "fp", "root")
+    return by_runs(_dealt(met, bucket), 3, compare).distinct()
+
+
+def _candidates(met: DataFrame, least: tuple[int, int], radius: int, bucket: int | None = None) -> DataFrame:
+    """(a, b): all pairs of a bucket that may be similar, by bit-sliced comparison."""
+    p, q = least
 
     def compare(runs, cols):
         import numpy as np
         import pyarrow as pa
 
-        s, n, fp, root = cols
+        s, n, fp = cols
         n = n.astype(np.int64)
-        few = n < FEW
-        out = []
-        for i, j in pairs_within(fp, runs, radius, few):
-            ok = (root[i] != root[j]) & (n[i] * q >= n[j] * p) & (n[j] * q >= n[i] * p)
-            out.append(np.stack([np.minimum(s[i], s[j])[ok], np.maximum(s[i], s[j])[ok]]))
-        if out and (got := np.unique(np.concatenate(out, axis=1), axis=1)).size:
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+        for i, j in pairs_within(fp, runs, radius, n < FEW):
+            ok = (n[i] * q >= n[j] * p) & (n[j] * q >= n[i] * p)
+            i, j = s[i[ok]], s[j[ok]]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    return by_runs(_dealt(met, bucket), 3, compare).distinct()
+
 
-    return by_runs(d.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "s"), 3, compare).distinct()
+def similar_within(sets: list, least: tuple[int, int]):
+    """Label of each set: the first of those that it reaches over pairs of Jaccard ``least`` or more.
+
+    A search from set to set: common shingles with all sets not reached yet are counted at once, from the lists of
+    the sets that hold each shingle; the lists are made anew whenever half of the sets are reached.
+    """
+    import numpy as np
+
+    p, q = least
+    size = np.array([len(x) for x in sets], np.int64)
+    label, every = np.full(len(sets), -1, np.int64), np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    code = np.unique(every, return_inverse=True)[1].astype(np.int32)
+    start, top = np.r_[0, np.cumsum(size)], int(code.max(initial=-1)) + 1
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+
+    def listed():
+        """Sets not reached yet, by shingle."""
+        left = label[owner] < 0
+        order = np.argsort(code[left], kind="stable")
+        return owner[left][order], np.r_[0, np.cumsum(np.bincount(code[left], minlength=top))], int((label < 0).sum())
+
+    holders, at, n_listed = listed()
+    n_left = n_listed
+    # those of the most shared shingles first: an original reaches its copies at once
+    shared = np.bincount(owner, np.diff(at)[code], len(sets)) / np.maximum(size, 1)
+    for first in np.argsort(-shared, kind="stable").tolist():
+        if label[first] >= 0:
+            continue
+        label[first], queue = first, [first]
+        n_left -= 1
+        while queue and n_left:
+            x = queue.pop()
+            if 2 * n_left < n_listed:
+                holders, at, n_listed = listed()
+            mine = code[start[x] : start[x + 1]]
+            n = at[mine + 1] - at[mine]
+            to = np.cumsum(n)
+            both = np.bincount(holders[np.repeat(at[mine] - (to - n), n) + np.arange(to[-1] if len(to) else 0)], minlength=len(sets))
+            new = np.flatnonzero((both * (p + q) >= p * (size[x] + size)) & (label < 0) & (both > 0))
+            label[new] = first
+            n_left -= len(new)
+            queue += new.tolist()
+    return label
+
+
+def _grams(docs: DataFrame, rows: DataFrame, need: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """need(s, ...) with grams: the whole set, from the text of the first row that has it."""
+    cols = need.columns
+    lead = rows.select("s", "k1", "k2").join(need.select("s"), "s", "left_semi").groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("f"))
+    lead = need.join(lead, "s").select(*cols, F.col("f.k1").alias("k1"), F.col("f.k2").alias("k2"))
+    text = docs.select(*_key(id_col, text_col, "k1", "k2"), F.col(text_col).alias("text")).join(lead, ["k1", "k2"]).select(*cols, "text")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [shingles(t.as_py(), words) for t in part.column(part.num_columns - 1)]
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], [*cols, "grams"])
+
+    return text.mapInArrow(run, ", ".join(f"{c} long" for c in cols) + ", grams array<long>").dropDuplicates(["s"])
+
+
+def _settled(grams: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """grams(root, s, grams) -> (node, root): what each set reaches inside its group, exactly; a group is one task's."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(ids, sets):
+            to = similar_within(sets, least)
+            ids = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[to])], ["node", "root"])
+
+        now, ids, sets = None, [], []
+        for batch in batches:
+            values = batch.column(2)
+            for root, s, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+                if root != now and ids:
+                    yield out(ids, sets)
+                    ids, sets = [], []
+                now = root
+                ids.append(s)
+                sets.append(np.array(g.values))
+        if ids:
+            yield out(ids, sets)
+
+    return grams.select("root", "s", "grams").repartition("root").sortWithinPartitions("root", "s").mapInArrow(run, "node long, root long")
 
 
 def _likely(pairs: DataFrame, bins: DataFrame, least: float) -> DataFrame:
@@ -431,23 +523,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, le
     p, q = least
     pairs = materialize(_likely(pairs, rows.select("s", "bins"), p / q), "jac-near")
     need = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    lead = rows.select("s", "k1", "k2").join(need, "s", "left_semi").groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("f"))
-    lead = lead.select("s", F.col("f.k1").alias("k1"), F.col("f.k2").alias("k2"))
-    text = docs.select(*_key(id_col, text_col, "k1", "k2"), F.col(text_col).alias("text"))
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                sets = [shingles(t.as_py(), words) for t in part.column(1)]
-                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["s", "grams"])
-
-    sets = text.join(lead, ["k1", "k2"]).select("s", "text").mapInArrow(run, "s long, grams array<long>")
-    sets = materialize(sets.dropDuplicates(["s"]), "jac-sets")
+    sets = materialize(_grams(docs, rows, need, words, id_col, text_col), "jac-sets")
     x, y = sets.toDF("a", "ga"), sets.toDF("b", "gb")
     both, of = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
     # both / (of - both) >= p / q
@@ -464,19 +540,23 @@ def similar_deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int]
     are known by 64-bit hashes.  A pair is verified if it lies within ``radius`` bits of the 64-bit SimHash of its
     distinct shingles (at any distance with fewer than FEW shingles) and its sketches leave room for the similarity;
     a pair of just that similarity is passed over with a chance of about 1e-8 by either.
-    Each set is held against the nearest of two hubs first, which collapses groups of copies without writing their
-    pairs; then buckets that still hold several components are compared whole.
+    The comparison gives links that span what may be similar in a bucket, so a group of copies makes as many links as
+    it has members.  What they join is settled exactly, group by group, in one task each; groups of more than
+    MOST_GRAMS shingles are compared pair by pair instead.
     """
     rows = materialize(_sets(docs, words, least, id_col, text_col), "jac-rows")
     met = materialize(_met(rows), "jac-met")
-    links = _verified(materialize(_stars(met, least, radius), "jac-stars"), docs, rows, words, least, id_col, text_col)
-    here = materialize(_open(met, components(links)), "jac-open")
-    drop(met)
-    pairs = materialize(_candidates(here, least, radius), "jac-pairs")
-    drop(here)
-    more = _verified(pairs, docs, rows, words, least, id_col, text_col)
-    drop(pairs)
-    parts = components(links.unionByName(more))
+    groups = materialize(components(_links(met, radius)).select(F.col("node").alias("s"), "root"), "jac-groups")
+    size = rows.groupBy("s").agg(F.max("n").alias("n")).join(groups, "s").groupBy("root").agg(F.sum("n").alias("n"))
+    wide = materialize(size.where(F.col("n") > MOST_GRAMS).select("root"), "jac-wide")
+    grams = _grams(docs, rows, groups.join(wide, "root", "left_anti").select("root", "s"), words, id_col, text_col)
+    parts = materialize(_settled(grams, least), "jac-settled")
+    if wide.head(1):
+        here = met.join(groups.join(wide, "root", "left_semi").select("s"), "s", "left_semi")
+        pairs = materialize(_candidates(here, least, radius), "jac-pairs")
+        parts = parts.unionByName(components(_verified(pairs, docs, rows, words, least, id_col, text_col)))
+        drop(pairs)
+    drop(met, groups)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("f")
     by_set = rows.groupBy("s").agg(first).join(parts.withColumnRenamed("node", "s"), "s", "left")
     stay = by_set.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("f").alias("f")).select(F.col("f.k1").alias("k1"), F.col("f.k2").alias("k2"))

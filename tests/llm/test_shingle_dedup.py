@@ -74,6 +74,35 @@ def test_buckets_cut_into_parts(spark, monkeypatch):
     assert sorted((r.doc_id for r in got.collect()), key=str) == staying(rows)
 
 
+def test_groups_too_large_for_a_task(spark, monkeypatch):
+    rows = edited_rows()
+    monkeypatch.setattr(simhash, "MOST_GRAMS", 3000)
+    got = simhash.similar_deduplicated(spark.createDataFrame(rows, cases.SCHEMA).repartition(3))
+    assert sorted((r.doc_id for r in got.collect()), key=str) == staying(rows)
+
+
+def test_search_inside_a_group():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 40, 150):
+        base = [rng.integers(-(1 << 62), 1 << 62, 60) for _ in range(4)]
+        sets = []
+        for k in range(n):
+            x = base[k % 4].copy()
+            x[rng.permutation(60)[: rng.integers(0, 14)]] = rng.integers(0, 1 << 40, 1)[0] + np.arange(1)
+            sets.append(np.unique(x))
+        label = simhash.similar_within(sets, (4, 5))
+        root = list(range(n))
+        for _ in range(n):
+            old = list(root)
+            for i in range(n):
+                for j in range(i):
+                    if len(np.intersect1d(sets[i], sets[j])) * 9 >= 4 * (len(sets[i]) + len(sets[j])):
+                        root[i] = root[j] = min(root[i], root[j])
+            if old == root:
+                break
+        assert len(set(zip(label.tolist(), root, strict=True))) == len(set(label.tolist())) == len(set(root))
+
+
 def test_pairs_of_runs():
     """The bit-sliced comparison against all pairs of each run; marked rows pair at any distance."""
     rng = np.random.default_rng(4)
