@@ -43,6 +43,13 @@ def affine(seg: Column, gt: list[Column]) -> Column:
     return F.transform(kept, lambda r: flat(F.transform(points(r), moved)))
 
 
+def cleaned(seg: Column) -> Column:
+    """Segmentation without repeated end points and without rings under three points; null where no ring is left."""
+    open_ = F.transform(seg, lambda r: F.when((F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -2)) & (F.element_at(r, 2) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 2)).otherwise(r))
+    kept = F.filter(open_, lambda r: F.coalesce(valid_ring(r), F.lit(False)))
+    return F.when(F.size(kept) > 0, kept)
+
+
 def bounds(seg: Column) -> Column:
     """Struct (x1, y1, x2, y2) over all rings; zeros where there are none."""
     x, y = F.flatten(F.transform(seg, xs)), F.flatten(F.transform(seg, ys))

@@ -1,7 +1,7 @@
 """Detections against ground truth: matching, average precision, aggregated Jaccard, segmentation errors, scene areas.
 
-Predictions hold seq, score and a box, ground truth gt and a box; ``groups`` (station, iteration, variant, ...) are
-columns of both.  The overlapping pairs are computed once and filtered by threshold; the threshold is a column of the
+Predictions hold seq, score and a box, ground truth gt and a box, both a segmentation ``seg`` where polygons count;
+``groups`` (station, iteration, variant, ...) are columns of both.  The overlapping pairs are computed once and filtered by threshold; the threshold is a column of the
 edges, so all matchings of a sweep run in the same rounds.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box_area, iou, overlap_area
+from ..functions.polygons import could_overlap, pair_columns, shape_overlaps, with_shapes
+from ..functions.rings import ring_centroid
 from .greedy import greedy_matching
 from .ordering import placed
 from .tile_join import tile_pairs, tile_size
@@ -25,10 +27,31 @@ THRESHOLDS = tuple(sorted({*COCO, *STRICT}))
 def overlap_pairs(pred: DataFrame, gt: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """(groups, seq, gt, score, iou, inter, p_area, g_area) of pairs that overlap by more than an edge."""
     groups = groups or []
-    p = pred.select(*groups, "seq", F.coalesce("score", F.lit(0.0)).alias("score"), "x1", "y1", "x2", "y2")
-    g = gt.select(*groups, "gt", "x1", "y1", "x2", "y2")
+    shapes = ["seg"] * ("seg" in pred.columns and "seg" in gt.columns)
+    p = pred.select(*groups, "seq", F.coalesce("score", F.lit(0.0)).alias("score"), "x1", "y1", "x2", "y2", *shapes)
+    g = gt.select(*groups, "gt", "x1", "y1", "x2", "y2", *shapes)
+    p, g = (with_shapes(p).drop("seg"), with_shapes(g).drop("seg")) if shapes else (p, g)
+    area = lambda k: F.coalesce(f"{k}.area", box_area(k)) if shapes else box_area(k)
     pairs = tile_pairs(p, g, tile_size(g.select("x1", "y1", "x2", "y2")), groups, False)
-    return pairs.select(*[F.col(f"a.{k}") for k in groups], "a.seq", "b.gt", "a.score", iou("a", "b").alias("iou"), overlap_area("a", "b").alias("inter"), box_area("a").alias("p_area"), box_area("b").alias("g_area"))
+    own, areas = [*[F.col(f"a.{k}") for k in groups], "a.seq", "b.gt", "a.score"], [area("a").alias("p_area"), area("b").alias("g_area")]
+    if shapes:
+        return shape_overlaps(pairs.where(could_overlap("a", "b", 0.0)).select(*own, *areas, *pair_columns())).select(*groups, "seq", "gt", "score", "iou", "inter", "p_area", "g_area")
+    return pairs.select(*own, iou("a", "b").alias("iou"), overlap_area("a", "b").alias("inter"), *areas)
+
+
+def feature_area(f: DataFrame, keys: tuple[str, ...] = (), stored: str | None = None) -> DataFrame:
+    """(keys, a): each feature's area: the ``stored`` column where it is positive, else its polygon's, else its box's."""
+    box = F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)) * F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0))
+    first = [F.when(F.col(stored) > 0, F.col(stored)).alias("_stored")] if stored else []
+    cols = [*keys, "x1", "y1", "x2", "y2", *first]
+    d = with_shapes(f.select(*cols, "seg")) if "seg" in f.columns else f.select(*cols)
+    found = ([F.col("_stored")] if stored else []) + ([F.col("area")] if "seg" in f.columns else [])
+    return d.select(*keys, F.coalesce(*found, box, F.lit(0.0)).alias("a"))
+
+
+def labelled(f: DataFrame, label: int | None) -> DataFrame:
+    """Only features of the label, if one is given; a missing label counts as 0."""
+    return f if label is None else f.where(F.coalesce(F.col("label").cast("int"), F.lit(0)) == label)
 
 
 def matched(pairs: DataFrame, thresholds: tuple[float, ...], groups: list[str] | None = None) -> DataFrame:
@@ -74,7 +97,8 @@ def average_precision(pred: DataFrame, n_gt: int, match: DataFrame, thresholds:
     hit = match.select("thr", "seq").join(place, "seq")
     by = W.partitionBy("thr").orderBy("place")
     hit = hit.withColumn("tp", F.row_number().over(by)).withColumn("precision", F.col("tp") / F.col("place"))
-    hit = hit.withColumn("env", F.max("precision").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    later = W.partitionBy("thr").orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    hit = hit.withColumn("env", F.max("precision").over(later))  # a running maximum from the end
     # match number tp answers the levels r above recall (tp - 1) / n up to tp / n, in whole numbers
     upto = lambda tp: (100 * tp - F.pmod(100 * tp, F.lit(n_gt))) / F.lit(n_gt)
     levels = upto(F.col("tp")) - upto(F.col("tp") - 1) + F.when(F.col("tp") == 1, 1).otherwise(0)
@@ -92,7 +116,7 @@ def aji_matches(pairs: DataFrame, groups: list[str] | None = None) -> DataFrame:
 def aji(pred: DataFrame, gt: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: aji = common area over union area, where unmatched ground truth and unused predictions count whole; 0 without ground truth."""
     m = aji_matches(pairs).agg(F.coalesce(F.sum("inter"), F.lit(0.0)).alias("inter"))
-    total = lambda f, n: f.select(box_area().alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias(n))
+    total = lambda f, n: feature_area(f).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias(n))
     one = m.join(total(pred, "p")).join(total(gt, "g"))  # three single rows
     union = F.col("p") + F.col("g") - F.col("inter")
     return one.select(F.when((union > 0) & (F.col("g") > 0), F.col("inter") / union).otherwise(F.lit(0.0)).alias("aji"))
@@ -110,7 +134,11 @@ def segmentation_errors(pairs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def matched_stats(match: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Per threshold over matched pairs: mean and micro IoU, area errors, centroid errors."""
-    c = lambda f, k, p: f.select(F.col(k), ((F.col("x1") + F.col("x2")) / 2).alias(f"{p}x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{p}y"))
+    def c(f, k, p):
+        box = F.struct(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+        at = F.coalesce(ring_centroid(F.element_at("seg", 1)), box) if "seg" in f.columns else box
+        return f.select(F.col(k), at["x"].alias(f"{p}x"), at["y"].alias(f"{p}y"))
+
     m = match.join(c(pred, "seq", "p"), "seq").join(c(gt, "gt", "g"), "gt")
     m = m.withColumn("d", F.hypot(F.col("px") - F.col("gx"), F.col("py") - F.col("gy"))).withColumn("da", F.col("p_area") - F.col("g_area"))
     inter = F.col("iou") * (F.col("p_area") + F.col("g_area")) / (1 + F.col("iou"))
@@ -119,8 +147,9 @@ def matched_stats(match: DataFrame, pred: DataFrame, gt: DataFrame) -> DataFrame
     return m.groupBy("thr").agg(F.avg("iou").alias("mean_iou"), micro.alias("micro_iou"), F.avg(F.col("da") * F.col("da")).alias("area_mse"), F.avg(F.abs("da")).alias("area_mae"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("centroid_rmse"), F.avg("d").alias("centroid_mae"))
 
 
-def summary(pred: DataFrame, gt: DataFrame, primary: float = 0.5, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """One row of headline numbers: f1, precision, recall, sq, rq, pq, map, ap_high, ap50, ap95, aji, over, under."""
+def summary(pred: DataFrame, gt: DataFrame, primary: float = 0.5, thresholds: tuple[float, ...] = THRESHOLDS, label: int | None = None) -> DataFrame:
+    """One row of headline numbers: f1, precision, recall, sq, rq, pq, map, ap_high, ap50, ap95, aji, over, under; of one ``label`` if it is given."""
+    pred, gt = labelled(pred, label), labelled(gt, label)
     pairs = overlap_pairs(pred, gt).checkpoint()
     m = matched(pairs, tuple(sorted({*thresholds, primary}))).checkpoint()
     n_gt = gt.count()

@@ -1,6 +1,7 @@
 """Fusing detections of many views: suppression, merging, clustering, cross-source merge, view sampling.
 
-Boxes come as DataFrames with seq (unique), score and x1..y2; a higher score ranks first, ties go to the smaller seq.
+Features come as DataFrames with seq (unique), score and x1..y2; a higher score ranks first, ties go to the smaller
+seq.  With a segmentation in ``seg`` their overlaps are those of the polygons, without one those of the boxes.
 """
 
 from __future__ import annotations
@@ -11,47 +12,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou, over_smaller, overlaps
+from ..functions.boxes import box_ring, iou, over_smaller, overlaps
+from ..functions.polygons import could_overlap, pair_columns, shape_overlaps, union_area, with_shapes
 from ..runtime import materialize
 from .components import components
 from .tile_join import near_pairs, tile_pairs, tile_size, tiled
+from .votes import pixel_vote
 
 FUSED_FLOOR = 1e-6
 
 
 def _slim(f: DataFrame, keys: list[str]) -> DataFrame:
-    return f.select("seq", F.coalesce("score", F.lit(0.0)).alias("score"), "x1", "y1", "x2", "y2", *keys)
+    s = f.select("seq", F.coalesce("score", F.lit(0.0)).alias("score"), "x1", "y1", "x2", "y2", *keys, *(["seg"] if "seg" in f.columns else []))
+    return with_shapes(s).drop("seg") if "seg" in f.columns else s
 
 
-def _meets(a: str, b: str, keys: list[str], overlap, threshold: float) -> Column:
-    """Rows of the same tile and keys that overlap by more than the threshold."""
-    on = (F.col(f"{a}.tx") == F.col(f"{b}.tx")) & (F.col(f"{a}.ty") == F.col(f"{b}.ty"))
+def _over(pairs: DataFrame, threshold: float, cols: list[Column], smaller: bool = False) -> DataFrame:
+    """``cols`` of the pairs (a, b) of slim rows whose boxes meet and that overlap by more than the threshold: polygons where there are any, else boxes."""
+    if "edge" not in pairs.columns:
+        return pairs.where((over_smaller if smaller else iou)("a", "b") > F.lit(float(threshold))).select(*cols)
+    d = shape_overlaps(pairs.where(could_overlap("a", "b", threshold, smaller)).select(*cols, *pair_columns()))
+    return d.where(F.col("ios" if smaller else "iou") > F.lit(float(threshold))).drop("iou", "ios", "inter")
+
+
+def _meeting(a: DataFrame, b: DataFrame, tile: float, keys: list[str], threshold: float, smaller: bool, also: Column) -> DataFrame:
+    """seq of the rows of ``a`` that overlap one of ``b``.  Boxes are semi-joined, which stops at a row's first match; polygons stream past the kernel.  No pair is written."""
+    if "edge" in a.columns:
+        return _over(tile_pairs(a, b, tile, keys, True, also), threshold, [F.col("a.seq").alias("seq")], smaller).distinct()
+    on = (F.col("a.tx") == F.col("b.tx")) & (F.col("a.ty") == F.col("b.ty"))
     for k in keys:
-        on &= F.col(f"{a}.{k}") == F.col(f"{b}.{k}")
-    return on & overlaps(a, b) & (overlap(a, b) > F.lit(float(threshold)))
+        on &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    on &= overlaps("a", "b") & ((over_smaller if smaller else iou)("a", "b") > F.lit(float(threshold))) & also
+    return tiled(a, tile).alias("a").join(tiled(b, tile).alias("b"), on, "left_semi").select("seq").distinct()
 
 
 def _before(a: str, b: str) -> Column:
     return (F.col(f"{a}.score") > F.col(f"{b}.score")) | ((F.col(f"{a}.score") == F.col(f"{b}.score")) & (F.col(f"{a}.seq") < F.col(f"{b}.seq")))
 
 
-def first_ranked(s: DataFrame, overlap, threshold: float, keys: list[str], tile: float, most_rounds: int = 500) -> DataFrame:
+def first_ranked(s: DataFrame, threshold: float, keys: list[str], tile: float, smaller: bool = False, most_rounds: int = 500) -> DataFrame:
     """The rows that a scan by rank keeps, of slim rows (seq, score, box, keys).
 
-    A round keeps the open rows that no better open row overlaps, and drops what those overlap.  Both are semi-joins
-    on tiles, which stop at a row's first match: no pair is ever written.  Rows of a dense cluster are gone after one
-    round.
+    A round keeps the open rows that no better open row overlaps, and drops what those overlap.  Rows of a dense
+    cluster are gone after one round.
     """
     open_, out = s, []
     for _ in range(most_rounds):
         if not open_.head(1):
             break
-        t = tiled(open_, tile)
-        beaten = t.alias("a").join(t.alias("b"), _meets("a", "b", keys, overlap, threshold) & _before("b", "a"), "left_semi").select("seq").distinct().checkpoint()
+        beaten = _meeting(open_, open_, tile, keys, threshold, smaller, _before("b", "a")).checkpoint()
         kept = open_.join(beaten, "seq", "left_anti").checkpoint()
         out.append(kept)
         rest = open_.join(beaten, "seq", "left_semi")
-        lost = tiled(rest, tile).alias("a").join(tiled(kept, tile).alias("b"), _meets("a", "b", keys, overlap, threshold), "left_semi").select("seq").distinct()
+        lost = _meeting(rest, kept, tile, keys, threshold, smaller, F.lit(True))
         open_ = rest.join(lost, "seq", "left_anti").checkpoint()
     else:
         raise RuntimeError("selection did not end")
@@ -65,18 +78,18 @@ def suppressed(f: DataFrame, threshold: float = 0.2, keys: list[str] | None = No
     """
     keys = keys or []
     s = materialize(_slim(f, keys), "nms-rows")
-    kept = first_ranked(s, iou, threshold, keys, tile_size(s))
+    kept = first_ranked(s, threshold, keys, tile_size(s))
     return f.join(kept.select("seq"), "seq", "left_semi")
 
 
-def grouped(f: DataFrame, overlap, threshold: float, keys: list[str] | None = None) -> DataFrame:
-    """f with head: the seq of the first-ranked kept row that each row falls to (its own, if kept)."""
+def grouped(f: DataFrame, threshold: float, keys: list[str] | None = None, smaller: bool = False) -> DataFrame:
+    """f with head: the seq of the first-ranked kept row that each row falls to (its own, if kept), by IoU or by the common part of the ``smaller``."""
     keys = keys or []
     s = materialize(_slim(f, keys), "nms-rows")
     tile = tile_size(s)
-    kept = first_ranked(s, overlap, threshold, keys, tile).checkpoint()
-    rest = tiled(s.join(kept.select("seq"), "seq", "left_anti"), tile).alias("a")
-    near = rest.join(tiled(kept, tile).alias("b"), _meets("a", "b", keys, overlap, threshold)).select("a.seq", F.col("b.score").alias("s"), F.col("b.seq").alias("h"))
+    kept = first_ranked(s, threshold, keys, tile, smaller).checkpoint()
+    rest = s.join(kept.select("seq"), "seq", "left_anti")
+    near = _over(tile_pairs(rest, kept, tile, keys), threshold, [F.col("a.seq").alias("seq"), F.col("b.score").alias("s"), F.col("b.seq").alias("h")], smaller)
     # the best score, then of equal ones the first: two plain aggregates
     best = near.groupBy("seq").agg(F.max("s").alias("s"))
     head = near.join(best, ["seq", "s"]).groupBy("seq").agg(F.min("h").alias("head"))
@@ -85,101 +98,147 @@ def grouped(f: DataFrame, overlap, threshold: float, keys: list[str] | None = No
 
 def merged_groups(f: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Non-maximum merging: (head, n, score, x1..y2 of the union): a head takes all rows with over-smaller above the threshold and keeps its attributes."""
-    g = grouped(f, over_smaller, threshold)
+    g = grouped(f, threshold, smaller=True)
     score = F.max(F.when(F.col("seq") == F.col("head"), F.col("score"))).alias("score")
     return g.groupBy("head").agg(F.count("*").alias("n"), score, F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+def union_areas(f: DataFrame, key: str) -> DataFrame:
+    """(key, n, area): what the polygons of each group cover together; those that aren't valid are skipped.  A group's distinct polygons are one task's."""
+
+    def cover(pdf):
+        import pandas as pd
+
+        return pd.DataFrame([(pdf[key].iloc[0], int(pdf["n"].sum()), union_area(pdf["seg"]))], columns=[key, "n", "area"])
+
+    kind = f.schema[key].dataType.simpleString()
+    return f.groupBy(key, "seg").agg(F.count("*").alias("n")).groupBy(key).applyInPandas(cover, f"{key} {kind}, n long, area double")
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     w = F.greatest(weight, F.lit(FUSED_FLOOR))
     return F.sum(value * w) / F.sum(w)
 
 
 def clusters(f: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Clusters by overlap with the head: (head, n, con_sem, con_pv, con_weight, score, src), means weighted by score, sources joined."""
-    g = grouped(f, iou, threshold)
+    """Clusters by overlap with the head: the heads' rows with head, n, con_sem, con_pv, con_weight (means weighted by score), score and src (sources joined)."""
+    g = grouped(f, threshold)
     mean = lambda c: weighted_mean(F.col(c), F.col("score")).alias(c)
     out = g.groupBy("head").agg(F.count("*").alias("n"), mean("con_sem"), mean("con_pv"), mean("con_weight"), F.array_join(F.array_sort(F.collect_set("src")), ";").alias("src"))
-    return out.withColumn("score", F.col("con_weight"))
+    own = f.drop("head", *out.columns, "score").withColumnRenamed("seq", "head")
+    return out.withColumn("score", F.col("con_weight")).join(own, "head").withColumn("seq", F.col("head"))
 
 
-def fused(f: DataFrame, method: str = "nms_keep_max", threshold: float = 0.2) -> DataFrame:
-    """Multi-view fusion by name; pixel votes are in ``votes``."""
+def fused(f: DataFrame, method: str = "nms_keep_max", threshold: float = 0.2, extra: DataFrame | None = None, vote: dict | None = None) -> DataFrame:
+    """Multi-view fusion by name; ``extra`` is a second source that votes too, ``vote`` the options of ``votes.pixel_vote``."""
     if method == "nms_keep_max":
         return suppressed(f, threshold)
     if method == "cluster_weighted":
         return clusters(f, threshold)
+    if method == "pixel_vote":
+        cols = ["score", "x1", "y1", "x2", "y2"] + ["seg"] * ("seg" in f.columns)
+        rows = f.select(*cols) if extra is None else f.select(*cols).unionByName(extra.select(*[c for c in cols if c in extra.columns]), allowMissingColumns=True)
+        out = pixel_vote(rows, **(vote or {}))
+        return out.withColumns({"seq": F.col("root"), "src": F.lit("pixel_vote"), "seg": F.array(box_ring())})
     raise ValueError(f"unknown fusion method {method!r}")
 
 
 def merge_sources(image: DataFrame, ortho: DataFrame, strategy: str = "confidence", threshold: float = 0.2) -> DataFrame:
-    """Merge a second source into fused features: (source, seq, score, x1..y2, outcome).
+    """Merge a second source into fused features: (source, seq, score, x1..y2, seg and src if both have them, outcome).
 
     Second-source rows come in seq order.  Each looks for its best candidate by score (first place on ties) with IoU
     above the threshold among what is merged so far, earlier second-source rows included.  Without one, or under
     'union', it is appended; 'prefer' replaces the candidate, 'confidence' replaces it if the score is strictly
-    greater.  Decisions depend on overlapping pairs only, so each connected component is folded on its own; its rows
-    are one task's, which bounds components by memory, not the number of them.  An unknown strategy is an error where
-    an overlap is found.
+    greater.  A row whose candidates are nobody else's is decided in columns.  The others are scanned in order,
+    component by component of what overlaps; a component's scan is one task's, with its rows and their neighbours in
+    memory.  An unknown strategy is an error where an overlap is found.
     """
     keep = ("seq", "score", "x1", "y1", "x2", "y2")
-    image, ortho = (x.select(*keep).withColumn("side", F.lit(k)) for k, x in enumerate((image, ortho)))
-    every = materialize(image.unionByName(ortho).withColumn("node", F.col("seq") * 2 + F.col("side")), "merge-rows")
-    tile = tile_size(every)
-    pairs = tile_pairs(every, every.where("side = 1"), tile, None, True, F.col("a.node") != F.col("b.node"))
-    edges = pairs.where(iou("a", "b") > F.lit(float(threshold))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    shapes = "seg" in image.columns and "seg" in ortho.columns
+    also = [c for c in ("seg", "src") if c in image.columns and c in ortho.columns]
+    image, ortho = (x.select(*keep, *also).withColumn("side", F.lit(k)) for k, x in enumerate((image, ortho)))
+    both = image.unionByName(ortho).withColumn("node", F.col("seq") * 2 + F.col("side"))
+    every = materialize(with_shapes(both) if shapes else both, "merge-rows")
+    say = lambda d, outcome: d.select(F.when(F.col("side") == 1, "ortho").otherwise("image").alias("source"), *keep, *also, outcome.alias("outcome"))
+    as_is = F.when(F.col("side") == 1, "added").otherwise("kept")
     if strategy == "union":
-        out = every.select("side", *keep, F.when(F.col("side") == 1, "added").otherwise("kept").alias("outcome"))
-        return out.withColumn("source", F.when(F.col("side") == 1, "ortho").otherwise("image")).drop("side")
-    edges = edges.checkpoint()
-    if strategy not in ("prefer", "confidence"):
-        if edges.head(1):
-            raise ValueError(f"unknown merge strategy {strategy!r}")
-    parts = components(edges).checkpoint()
-    placed = every.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    alone = placed.join(parts, "node", "left_anti").select("side", *keep, F.when(F.col("side") == 1, "added").otherwise("kept").alias("outcome"))
-    together = placed.join(parts.select("node"), "node", "left_semi")
-
-    def fold(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values(["side", "seq"]).to_dict("records")
-        merged = [dict(r, outcome="kept") for r in rows if r["side"] == 0]
-        for d in (r for r in rows if r["side"] == 1):
-            best, score = -1, -1.0
-            for k, m in enumerate(merged):
-                if m["score"] > score and _iou(m, d) > threshold:
-                    best, score = k, m["score"]
-            if best < 0:
-                merged.append(dict(d, outcome="added"))
-            elif strategy == "prefer" or d["score"] > merged[best]["score"]:
-                merged[best] = dict(d, outcome="replaced")
-        return pd.DataFrame(merged)[["side", *keep, "outcome"]]
-
-    kinds = "side int, seq long, score double, x1 double, y1 double, x2 double, y2 double, outcome string"
-    out = alone.unionByName(together.select("root", "side", *keep).groupBy("root").applyInPandas(fold, kinds))
-    return out.withColumn("source", F.when(F.col("side") == 1, "ortho").otherwise("image")).drop("side")
-
-
-def _iou(a: dict, b: dict) -> float:
-    w = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])
-    h = min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
-    if w <= 0 or h <= 0:
-        return 0.0
-    inter = w * h
-    union = (a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - inter
-    return inter / union if union > 0 else 0.0
+        return say(every, as_is)
+    pairs = tile_pairs(every, every.where("side = 1"), tile_size(every), None, True, F.col("a.node") != F.col("b.node"))
+    near = _over(pairs, threshold, [F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.side").alias("side"), F.col("a.score").alias("score")])
+    near = materialize(near, "merge-near")
+    if strategy not in ("prefer", "confidence") and near.head(1):
+        raise ValueError(f"unknown merge strategy {strategy!r}")
+    # contested: with an earlier or later row of its own source, or with a candidate that another row has too
+    shared = near.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    fought = near.join(shared, "a", "left_semi").select("b").unionByName(near.where("side = 1").select("b")).distinct()
+    plain = near.join(fought, "b", "left_anti").join(every.where("side = 1").select(F.col("node").alias("b"), F.col("score").alias("mine")), "b")
+    best = plain.groupBy("b", "mine").agg(F.max("score").alias("score"), F.max_by("a", F.struct("score", -F.col("a"))).alias("a"))
+    wins = F.lit(True) if strategy == "prefer" else F.col("mine") > F.col("score")
+    best = materialize(best.select("a", "b", wins.alias("wins")), "merge-plain")
+    edges = near.join(fought, "b", "left_semi").select("a", "b")
+    parts = components(edges)
+    # a row is out if it was replaced, or didn't replace its candidate
+    told = best.select(F.col("a").alias("node"), F.when(F.col("wins"), "gone").alias("told")).unionByName(best.select(F.col("b").alias("node"), F.when(F.col("wins"), "replaced").otherwise("gone").alias("told"))).where("told is not null")
+    simple = every.join(parts.select("node"), "node", "left_anti").join(told, "node", "left").where("told is null or told <> 'gone'")
+    simple = say(simple, F.coalesce("told", as_is))
+    rows = every.select("node", "side", "score", *[c for c in keep if c != "score"]).join(parts, "node")
+    to = edges.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("near"))
+    rows = rows.join(to, "node", "left").select("root", "side", "seq", "node", "score", "near")
+    rows = rows.repartition("root").sortWithinPartitions("root", "side", "seq")
+
+    def scan(batches):
+        import pyarrow as pa
+
+        now, taker, places, out = None, {}, 0, []  # taker: node -> (place, score, outcome) of what is merged now
+        for batch in batches:
+            for root, side, seq, node, score, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != now:
+                    out += [(n, o) for n, (_, _, o) in taker.items()]
+                    now, taker, places = root, {}, 0
+                here = [(taker[n][1], -taker[n][0], n) for n in to or () if n in taker] if side else []
+                if not here:
+                    taker[node], places = (places, score, "added" if side else "kept"), places + 1
+                    continue
+                top, place, mate = max(here)
+                if strategy == "prefer" or score > top:
+                    del taker[mate]
+                    taker[node] = (-place, score, "replaced")
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([o for _, o in out], pa.string())], ["node", "outcome"])
+            out = []
+        out += [(n, o) for n, (_, _, o) in taker.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([o for _, o in out], pa.string())], ["node", "outcome"])
+
+    done = rows.mapInArrow(scan, "node long, outcome string")
+    return simple.unionByName(say(every.join(done, "node"), F.col("outcome")))
 
 
 def view_groups(f: DataFrame, threshold: float = 0.1, distance: float = 0.0) -> DataFrame:
     """f with root: connected components of IoU above the threshold or, with a distance, of near centres."""
     s = materialize(_slim(f, []), "view-rows")
-    pairs = tile_pairs(s, s, tile_size(s), None, True, F.col("a.seq") < F.col("b.seq")).where(iou("a", "b") > F.lit(float(threshold)))
-    edges = pairs.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
-    if distance > 0:
-        centre = f.select("seq", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-        edges = edges.unionByName(near_pairs(centre, distance).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b")))
-    return f.join(components(edges).withColumnRenamed("node", "seq"), "seq", "left").withColumn("root", F.coalesce("root", "seq"))
+    tile, parts = tile_size(s), None
+    for _ in range(64):
+        # the least neighbour of each row, aggregated as the pairs are found: no pair is written
+        here = s if parts is None else s.join(parts, "seq", "left").withColumn("root", F.coalesce("root", "seq"))
+        own = "seq" if parts is None else "root"
+        apart = F.col(f"a.{own}") > F.col(f"b.{own}") if parts is None else F.col("a.root") != F.col("b.root")
+        met = _over(tile_pairs(here, here, tile, None, True, apart), threshold, [F.col(f"a.{own}").alias("a"), F.col(f"b.{own}").alias("b")])
+        if distance > 0:
+            centre = here.select("seq", *([] if parts is None else ["root"]), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+            two = near_pairs(centre, distance).select(F.col(f"a.{own}").alias("a"), F.col(f"b.{own}").alias("b")).where("a <> b")
+            met = met.unionByName(two.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        met = materialize(met.groupBy("a").agg(F.min("b").alias("b")), "view-links")
+        if parts is not None and not met.head(1):
+            break
+        links = components(met)
+        if parts is None:
+            parts = materialize(links.select(F.col("node").alias("seq"), "root"), "view-parts")
+        else:
+            up = links.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            every = parts.unionByName(links.join(parts.select(F.col("seq").alias("node")), "node", "left_anti").select(F.col("node").alias("seq"), F.col("node").alias("root")))
+            parts = materialize(every.join(up, "root", "left").select("seq", F.coalesce("to", "root").alias("root")), "view-parts")
+    else:
+        raise RuntimeError("view groups did not end")
+    return f.join(parts, "seq", "left").withColumn("root", F.coalesce("root", "seq"))
 
 
 def draw(key: Column, seed: int) -> Column:

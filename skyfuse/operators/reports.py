@@ -51,6 +51,49 @@ def cumulative_cost(cost: DataFrame, field: str, shared: str = "shared") -> Data
     return c.groupBy("variant", "iter").agg(F.avg(F.col("_v") + F.coalesce("_s", F.lit(0.0))).alias(field))
 
 
+#: Path of a folder of logs under its station -> (iteration, variant): iter_<t>/full, iter_<t>/shared, iter_<t>/dirs/<name>, <name>/iter_<t>, <name>/iter_<t>/dom (fixed formats).
+LOG_PATHS = ((r"^iter_(\d+)/(full|shared)/logs$", 1, 2), (r"^iter_(\d+)/dirs/([^/]+)/logs$", 1, 2), (r"^(?!iter_\d+/)([^/]+)/iter_(\d+)(/dom)?/logs$", 2, 1))
+
+
+def log_key(path: Column) -> Column:
+    """Struct (iter, variant) of a log folder's path under its station; null for folders that no result is told of."""
+    at = lambda pattern, k: F.regexp_extract(path, pattern, k)
+    found = [F.when(F.regexp_like(path, F.lit(p)), F.struct(at(p, i).cast("int").alias("iter"), at(p, v).alias("variant"))) for p, i, v in LOG_PATHS]
+    return F.coalesce(*found)
+
+
+def folded_logs(costs: DataFrame, sums: list[str], most: list[str], path: str = "path", station: str = "station") -> DataFrame:
+    """costs(station, path, ...) by log folder -> by (station, iter, variant): ``sums`` add up, of ``most`` the largest stays, folders are listed."""
+    d = costs.withColumn("key", log_key(F.col(path))).where("key is not null")
+    folders = F.array_join(F.array_sort(F.collect_set(path)), ";").alias("logs_dir")
+    return d.groupBy(station, F.col("key.iter").alias("iter"), F.col("key.variant").alias("variant")).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most], folders)
+
+
+def with_quality(rows: DataFrame) -> DataFrame:
+    """rows with sq, rq and pq where they are missing or zero: mean IoU of the matches, F1, and their product to six decimals."""
+    kept = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), other) if c in rows.columns else other
+    d = rows.withColumns({"sq": kept("sq", F.col("obj_miou")), "rq": kept("rq", F.col("obj_f1"))})
+    return d.withColumn("pq", F.coalesce(F.nullif(F.col("pq"), F.lit(0.0)), F.round(F.col("sq") * F.col("rq"), 6)) if "pq" in rows.columns else F.round(F.col("sq") * F.col("rq"), 6))
+
+
+def shuffled(keys: list, seed: int = 42) -> list:
+    """The few distinct keys in the order that a seeded Fisher-Yates shuffle gives to their sorted list."""
+    import random
+
+    out = sorted(keys)
+    random.Random(seed).shuffle(out)
+    return out
+
+
+def seeded_view_sets(images: DataFrame, tilt: str = "tilt", azimuth: str = "azimuth", nadir_deg: float = 10.0, seed: int = 42) -> DataFrame:
+    """images(img, tilt, azimuth in degrees) -> (set, img): set 0 holds nothing, 1 the images within ``nadir_deg`` of straight down, each further set one azimuth octant more, in seeded order."""
+    d = images.select("img", (F.floor(F.col(azimuth) / 45) * 45).cast("int").alias("octant"), (F.col(tilt) < nadir_deg).alias("down"))
+    order = shuffled([r.octant for r in d.where(~F.col("down")).select("octant").distinct().collect()], seed)  # nine octants at most
+    place = F.coalesce(*[F.when(F.col("octant") == o, F.lit(k + 2)) for k, o in enumerate(order)], F.lit(1))
+    d = d.withColumn("no", F.when(F.col("down"), 1).otherwise(place))
+    return d.select(F.explode(F.sequence("no", F.lit(len(order) + 1))).alias("set"), "img")
+
+
 def view_sets(images: DataFrame, direction: str = "direction", first: str = "nadir") -> DataFrame:
     """images(img, direction) -> (set, img): set 0 holds nothing, 1 the nadir images, and each further set one more direction."""
     groups = images.select(direction).distinct().withColumn("no", F.row_number().over(W.orderBy((F.col(direction) != first).cast("int"), direction)))  # at most nine directions

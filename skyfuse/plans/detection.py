@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.polygons import shape_columns
+from ..functions.boxes import box_ring
+from ..functions.polygons import shape_columns, smallest_rectangle
 from ..functions.rings import affine, bounds
 from ..operators import fusion, prompts, terrain
 from ..operators import windows as win
@@ -66,19 +67,50 @@ def run_round(raw: DataFrame, images: DataFrame, ground: terrain.Terrain | None,
         return after
 
     kept = win.early_filter(raw, cfg.windows.min_score, cfg.windows.min_area_px)
+    lost = kept.join(images.select("src"), "src", "left_anti").count()
+    if lost:  # features of images that aren't listed have nowhere to go
+        counts.append(("image-not-listed", lost, 0))
     f = step("features", raw, weighed(located(kept, images, ground, cfg), cfg))
     u = cfg.fusion
     d = step("image-nms", f, fusion.suppressed(f, u.image_iou, ["src"])) if u.image_nms else f
     if u.views:
         d = step("views", d, fusion.view_sample(d, u.views_k, u.views_iou, u.views_distance, u.seed).drop("root"))
-    out = step("fusion", d, fusion.fused(d, u.method, u.iou))
-    if u.merge and ortho is not None:
-        out = step("merge", out, fusion.merge_sources(out, ortho, u.strategy, u.merge_iou))
-    return Round(f, out, made_prompts(out, images, cfg), counts)
-
-
-def made_prompts(f: DataFrame, images: DataFrame, cfg: Config, ground_height: float | None = None) -> dict[str, DataFrame]:
-    """Prompt boxes of the next round by kind: in georeferenced images, and in the photos whose footprint a feature meets."""
+    voted = u.method == "pixel_vote"  # then a second source votes too, and isn't merged
+    second = ortho if u.merge else None
+    out = step("fusion", d, fusion.fused(d, u.method, u.iou, second if voted else None))
+    if second is not None and not voted:
+        out = step("merge", out, fusion.merge_sources(out, second, u.strategy, u.merge_iou))
+    return Round(f, out, made_prompts(out, images, cfg, ground=ground), counts)
+
+
+def prompt_corners(f: DataFrame, height: float, ground: terrain.Terrain | None = None) -> DataFrame:
+    """f(seq, x1..y2 [, seg]) -> (seq, gx0..gz3): the corners of the smallest rectangle around the ring (the box without one), at the terrain's height under each, or ``height``."""
+    names = [f"g{a}{k}" for k in range(4) for a in "xyz"]
+    ring = F.coalesce(F.element_at("seg", 1), box_ring()) if "seg" in f.columns else box_ring()
+    if ground is not None and ground.heights is not None and ground.heights.nbytes > terrain.BROADCAST:
+        ground = ground.stored(f.sparkSession)
+    sent = f.sparkSession.sparkContext.broadcast(ground)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ground = sent.value
+        for b in batches:
+            rings = [np.asarray(r, float).reshape(-1, 2) for r in b.column(1).to_pylist()]
+            c = np.array([smallest_rectangle(r.ravel())[3] if len(r) > 2 and smallest_rectangle(r.ravel())[2] > 0 else r[[0, 1, 2, 3]] for r in rings]).reshape(-1, 4, 2)
+            z = np.full(c.shape[:2], float(height))
+            if ground is not None and len(c):
+                under = ground.under(c[:, :, 0].ravel(), c[:, :, 1].ravel()).reshape(z.shape)
+                z = np.where(np.isfinite(under), under, z)
+            every = np.concatenate([c, z[:, :, None]], axis=2).reshape(-1, 12)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(every[:, k]) for k in range(12)]], ["seq", *names])
+
+    return f.select("seq", ring.alias("ring")).where("ring is not null").mapInArrow(run, "seq long, " + ", ".join(f"{n} double" for n in names))
+
+
+def made_prompts(f: DataFrame, images: DataFrame, cfg: Config, ground_height: float | None = None, ground: terrain.Terrain | None = None) -> dict[str, DataFrame]:
+    """Prompt boxes of the next round by kind: in georeferenced images, and in a feature's own photos and those whose footprint it meets."""
     p, out = cfg.prompts, {}
     if p.mode not in ("oblique", "ortho", "both"):
         raise ValueError(f"unknown prompt mode {p.mode!r}")
@@ -91,11 +123,12 @@ def made_prompts(f: DataFrame, images: DataFrame, cfg: Config, ground_height: fl
 
         photos = images.where("geotransform is null").withColumn("img", F.col("src"))
         foot = prompts.footprints(photos, cfg.camera)
-        good = f.where(F.col("score") >= p.min_confidence).select("seq", "x1", "y1", "x2", "y2")
-        met = tile_pairs(good, foot, 20.0).select("a.seq", F.col("b.img").alias("src"), "a.x1", "a.y1", "a.x2", "a.y2").distinct()
-        z = F.lit(cfg.camera.mean_height if ground_height is None else ground_height)
-        corner = {f"g{a}{k}": v for k, (x, y) in enumerate((("x1", "y1"), ("x1", "y2"), ("x2", "y2"), ("x2", "y1"))) for a, v in (("x", F.col(x)), ("y", F.col(y)), ("z", z))}
-        c = met.withColumns(corner).drop("x1", "y1", "x2", "y2").join(photos.drop("img"), "src")
+        good = f.where(F.col("score") >= p.min_confidence)
+        met = tile_pairs(good.select("seq", "x1", "y1", "x2", "y2"), foot, 20.0).select("a.seq", F.col("b.img").alias("src"))
+        if "src" in f.columns:  # its own photos too, wherever their footprints lie
+            met = met.unionByName(good.select("seq", F.explode(F.split("src", ";")).alias("src")))
+        corners = prompt_corners(good, cfg.camera.mean_height if ground_height is None else ground_height, ground)
+        c = met.distinct().join(corners, "seq").join(photos.drop("img"), "src")
         out["oblique"] = prompts.box_lines(prompts.photo_boxes(c, cfg.camera, p.min_size))
     return out
 

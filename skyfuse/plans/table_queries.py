@@ -109,7 +109,7 @@ def w2_precision_envelope(spark: SparkSession, sf: str) -> DataFrame:
     d = m.join(placed(p.select("seq", "score"), [F.desc("score"), F.asc("seq")]).select("seq", "place"), "seq")
     by = W.partitionBy("thr").orderBy("place")
     d = d.withColumn("p", F.row_number().over(by) / F.col("place"))
-    return d.select("thr", "seq", F.max("p").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("env"))
+    return d.select("thr", "seq", F.max("p").over(W.partitionBy("thr").orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, W.currentRow)).alias("env"))
 
 
 @query(views.sql("gt", "ortho") + f" SELECT gt, first(seq ORDER BY score DESC, seq) AS best FROM (SELECT b.gt, a.seq, a.score FROM ortho a JOIN gt b ON {CLOSED} AND {IOU} > 0.05e0) GROUP BY gt")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box_ring
 from ..functions.rings import bounds, valid_ring
+from ..operators.ordering import placed
 
 #: Columns of the export, in order (fixed values).
 EXPORT = ("id", "label", "src", "method", "con", "con_sem", "con_pv", "con_weight", "area", "ratio", "tilt", "azimuth", "z_mean", "z_min", "z_max", "pf_inlier", "pf_rmse", "n_ring")
@@ -36,7 +36,7 @@ def read_features(spark: SparkSession, path: str, score: str | None = None) -> D
 
 def exported(f: DataFrame) -> DataFrame:
     """The export columns and the rings: id is the place in seq order, given before rows without geometry are left out; angles in degrees."""
-    d = f.withColumn("id", F.row_number().over(W.orderBy("seq")))  # a report's worth of rows
+    d = placed(f, [F.asc("seq")], "id")
     rings = F.coalesce(F.when(F.size("seg") > 0, F.col("seg")), F.when(box_ring().isNotNull(), F.array(box_ring()))) if "seg" in f.columns else F.array_compact(F.array(box_ring()))
     d = d.withColumn("rings", rings).where(F.size("rings") > 0)
     cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, TEXT_LENGTH)

@@ -159,6 +159,36 @@ def test_round(spark):
     pre = {x.what: x.n for x in detection.preflight(images.select("src"), images.where("src <> 'p2'").select("src")).collect()}
     assert pre == {"image without pose": 1, "pose without image": 0, "repeated image": 0}
 
+    # every method ends, with a second source; features of unlisted images are told, not lost in silence
+    more = raw.unionByName(spark.createDataFrame([(6, "p9", ring(46, 48, 54, 52), 0.9, 900.0)], raw.schema))
+    ortho = spark.createDataFrame([(1, 0.95, -2.0, -1.0, 2.0, 1.0)], "seq long, score double, x1 double, y1 double, x2 double, y2 double")
+    for method in ("cluster_weighted", "pixel_vote"):
+        c = config.replace(cfg, fusion=config.replace(cfg.fusion, method=method, merge=True))
+        m = detection.run_round(more, images, ground, c, ortho)
+        one = m.fused.first()
+        assert m.fused.count() == 1 and np.allclose((one.x1, one.y1, one.x2, one.y2), (-2, -1, 2, 1), atol=0.25)
+        assert ("image-not-listed", 1, 0) in m.counts
+        assert {x.src for x in m.prompts["oblique"].collect()} == {"p1", "p2"} and m.prompts["ortho"].count() == 1
+
+
+def test_prompt_corners(spark):
+    """Corners of the smallest rectangle, each at the height of the ground under it; the mean height off the grid."""
+    ramp = np.tile(np.arange(100, dtype=float), (100, 1))  # height = column
+    ground = Terrain.of(ramp, (0.0, 1.0, 0.0, 100.0, 0.0, -1.0))
+    turned = [10.0, 10.0, 14.0, 13.0, 11.0, 17.0, 7.0, 14.0]  # 5 x 5 at an angle
+    f = spark.createDataFrame([(1, [turned], 7.0, 10.0, 14.0, 17.0), (2, None, 500.0, 500.0, 501.0, 502.0)], "seq long, seg array<array<double>>, x1 double, y1 double, x2 double, y2 double")
+    got = {r.seq: r for r in detection.prompt_corners(f, 42.0, ground).collect()}
+    corners = {(round(got[1][f"gx{k}"], 6), round(got[1][f"gy{k}"], 6)) for k in range(4)}
+    assert corners == {(10.0, 10.0), (14.0, 13.0), (11.0, 17.0), (7.0, 14.0)}
+    for k in range(4):
+        assert abs(got[1][f"gz{k}"] - got[1][f"gx{k}"]) <= 1.0 and got[2][f"gz{k}"] == 42.0
+
+
+def test_log_folders(spark):
+    paths = {"iter_0/full/logs": (0, "full"), "iter_0/shared/logs": (0, "shared"), "iter_2/dirs/O1/logs": (2, "O1"), "ours/iter_1/logs": (1, "ours"), "ours/iter_1/dom/logs": (1, "ours"), "iter_0/logs": None, "iter_0/full/x/logs": None, "iter_1/iter_2/logs": None, "figures/logs": None, "a/b/iter_1/logs": None, "ours/iter_1/tdom/logs": None}
+    d = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.key and tuple(r.key) for r in d.select("path", reports.log_key(F.col("path")).alias("key")).collect()} == paths
+
 
 def test_stream(spark, tmp_path):
     d = spark.createDataFrame([(1, "a", 0.9, 0.0, 0.0, 2.0, 2.0), (2, "a", 0.8, 0.1, 0.0, 2.1, 2.0), (3, "b", 0.8, 0.1, 0.0, 2.1, 2.0)], "seq long, src string, score double, x1 double, y1 double, x2 double, y2 double")
