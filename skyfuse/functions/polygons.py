@@ -350,6 +350,8 @@ def common_areas(ea, eb, base) -> np.ndarray:
     """
     (na, a), (nb, b) = ea, eb
     out, n = np.zeros(len(na)), na * nb
+    if not len(n):
+        return out
     sa, sb = np.cumsum(na) - na, np.cumsum(nb) - nb
     lots = np.cumsum(n) // 500_000
     for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.flatnonzero(np.r_[True, lots[1:] != lots[:-1], True])), strict=True):

@@ -142,6 +142,8 @@ def test_signed_edges():
             continue
         ea, eb = ((np.array([len(e)]), e) for e in (one, two))
         assert pg.common_areas(ea, eb, np.array([-9.0]))[0] == pytest.approx(pg.intersection_area(a, b), abs=1e-9)
+    none = (np.zeros(0, np.int64), np.zeros((0, 5)))
+    assert len(pg.common_areas(none, none, np.zeros(0))) == 0
     assert pg.many_signed_edges([None, [], [[0.0, 0.0, 1.0, 1.0]], [None], [[0.0, 0.0, 1.0, float("nan"), 2.0, 0.0]]]) == [None] * 5
 
 
