@@ -148,7 +148,9 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
     """One row for each document and licence found: doc_id, license, dice (six decimals), n_segments.
 
     ``templates`` are held against lines, sentences and the whole; ``texts`` against every window of words, and
-    their n_segments counts disjoint windows.  The SQL states the former only.  One pass without a shuffle.  Null and empty texts have none; repeated rows come each.
+    their n_segments counts disjoint windows.  The SQL states the former only.  One pass without a shuffle.  Null and empty texts have
+    none; repeated rows come each; an empty table gives none.  Long texts are read whole.  Of segments or windows that
+    are equally alike the first counts, and licences come in order of their names.
     """
     chosen = dict(TEMPLATES if templates is None else templates)
     whole = license_texts() if texts is None else dict(texts)

@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM, extra: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, score, expected_grade, tail_prob = P(grade is the highest), keep = tail_prob >= keep_from.
 
-    A null, empty or white text has no features and is not kept.  Repeated rows come each.
+    A null, empty or white text has no features and is not kept.  Repeated rows come each, an empty table gives none.
+    Long texts are read whole; the memory they need is that of their distinct words.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weights, model.thresholds))  # telling features of a bounded sample

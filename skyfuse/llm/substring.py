@@ -23,6 +23,8 @@ GRAM = 10
 #: Segments that a shard's automaton holds at most.
 SHARD = 2048
 BATCH_WORDS = 1 << 18
+#: Words of a part of a longer text.
+PART = 1 << 22
 _BASE, _ODD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -176,9 +178,9 @@ def _found(docs: DataFrame, span: int) -> DataFrame:
                 w = t.as_py().encode("utf-8", "surrogatepass").split()
                 if len(w) < span:
                     continue
-                if len(w) > 1 << 22:
+                if len(w) > PART:
                     # longer than positions reach: in parts that share all but one window's words, each with whole windows
-                    yield from _long(i, k, w, span, hashes)
+                    yield from _long(i, k, w, span, hashes, PART)
                     continue
                 if words and len(words) + len(w) > BATCH_WORDS:
                     yield from flush(ids, ks, words, sizes)
@@ -194,12 +196,12 @@ def _found(docs: DataFrame, span: int) -> DataFrame:
     return d.mapInArrow(run, "d long, k long, at int, n int, a long, s long")
 
 
-def _long(i, k, words, span: int, hashes):
+def _long(i, k, words, span: int, hashes, step: int):
     """Segments of a very long text.  A part's last segment may go on, so the next part starts with its first window."""
     import numpy as np
     import pyarrow as pa
 
-    at, step = 0, 1 << 22
+    at = 0
     while at + span <= len(words):
         h = np.fromiter(map(hashes.__getitem__, words[at : at + step]), np.uint64)
         _, first, n, a, s = segments(h, np.zeros(len(h), np.int64), span)

@@ -25,7 +25,7 @@ BLOCK, FREQUENT, SHARD, MOST = 64, 256, 8_192, 12_288
 #: A term in one of so many documents of the shard, or more, stands as a row.
 DENSE = 12
 #: Blocks of the highest bounds that are scored first; pivots that are scored at a time.
-SEEDS, PIVOTS = 12, 16
+SEEDS, PIVOTS = 8, 16
 #: Scores are compared and returned at this many decimals, so that the order of additions can't matter.
 DECIMALS = 6
 

@@ -196,7 +196,11 @@ def write_files(docs: DataFrame, tokenizer_path: str, eos: int = 2, folder: str
 
 
 def read_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Documents of the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 [, ids]."""
+    """Documents of the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 [, ids].
+
+    Null ids and repeated rows come as they were written; a null or empty text is its end id alone.  Files are read
+    block by block, and a document over many blocks is put together in memory.  An empty manifest gives none.
+    """
     n = max(1, min(manifest.count(), 1 << 16))
     m = manifest.select("path", "bytes", "base").repartition(n)
 

@@ -1,10 +1,12 @@
 """Mixing: targets against repeated resharing, taken words against the targets, texts against the allocation."""
 
+import random
 import re
 from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from skyfuse.llm import mixing
 
@@ -45,6 +47,30 @@ def check(rows, got, block):
     return want
 
 
+def test_shards_and_repeats(spark):
+    """Shards' counts add up to the targets, and repeats of a row each take their own words."""
+    import time
+
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 90))), "en", f"s{k % 4}", 0, 1, 1, "") for k in range(300)]
+    rows += [(7000, "one row many times over " * 9, "en", "s1", 0, 1, 1, "")] * 400
+    d = spark.createDataFrame(rows, cases.SCHEMA).repartition(3)
+    taken = {r.source: (r.t, r.w) for r in mixing.allocate(d, block=8, shard_slots=16).join(d.select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("w")).collect()}
+    counts = mixing.shard_counts(d, block=8, shard_slots=16).collect()
+    words = {}
+    for r in counts:
+        words[r.source] = words.get(r.source, 0) + r.words
+    assert {s: w for s, (_, w) in taken.items()} == words and all(abs(t - w) <= 1 for t, w in taken.values())
+    blocks = {}
+    for r in counts:
+        blocks[r.shard] = blocks.get(r.shard, 0) + r.blocks
+    assert sum(blocks.values()) / 16 <= len(blocks) + 1 and max(blocks.values()) < 16 + 6 * 4 + 8  # a multinomial draw's spread
+    began = time.time()
+    out = mixing.mixed_documents(d, block=8, shard_slots=16)
+    assert out.columns == d.columns and sum(len(r.text.split()) for r in out.collect()) == sum(words.values())
+    assert time.time() - began < 120
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_allocate(spark, block):
     a = mixing.allocate(cases.frame(spark), block=block).toPandas()

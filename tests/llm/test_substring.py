@@ -81,6 +81,31 @@ def test_long_texts_go_in_parts(spark, monkeypatch):
     assert (whole[1][1:] == (whole[1] + whole[2])[:-1]).all()
 
 
+@pytest.mark.parametrize("part", [60, 173])
+def test_parts_find_the_same(spark, monkeypatch, part):
+    """Texts of many parts: the same segments, and the same words go."""
+    import numpy as np
+
+    monkeypatch.setattr(substring, "PART", part)
+    rows = made(4)
+    assert run(spark, rows, 50) == brute(rows, 50)
+    rng, hashes = random.Random(9), substring.WordHash()
+    w = [str(rng.randrange(40)).encode() for _ in range(2000)]
+    whole = substring.segments(np.fromiter(map(hashes.__getitem__, w), np.uint64), np.zeros(len(w), np.int64), 50)
+    cover = np.zeros(len(w), np.int64)
+    for b in substring._long(1, 2, w, 50, hashes, part):
+        for at, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            cover[at : at + n] += 1
+    assert (cover[: len(w) - 49] >= 1).all() and (cover[len(w) - 49 :] == 0).all() and whole[2].sum() == len(w) - 49
+
+
+def test_repeated_rows(spark):
+    """Rows alike in id and text each get the spans once."""
+    rows = made(3)
+    twice = [*rows, *rows[:10], *rows[:10], *rows[:10]]
+    assert run(spark, twice, 50) == brute(twice, 50)
+
+
 def test_automaton():
     rng = random.Random(6)
     for _ in range(200):

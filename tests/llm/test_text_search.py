@@ -55,6 +55,35 @@ def test_cases(spark):
     assert run(spark, [], 1, 3) == []
 
 
+@pytest.mark.parametrize("frequent, dense, block", [(4, 2, 8), (2, 1000, 16), (40, 3, 64)])
+def test_frequent_terms_by_postings_and_rows(monkeypatch, frequent, dense, block):
+    """Terms as rows, as frequent postings and as rare ones, against plain scores; and pivots leave blocks out."""
+    for name, value in (("FREQUENT", frequent), ("DENSE", dense), ("BLOCK", block)):
+        monkeypatch.setattr(text_search, name, value)
+    rng = np.random.default_rng(3)
+    n, v = 900, 300
+    tf = (rng.random((n, v)) < np.r_[np.full(20, 0.5), np.full(80, 0.06), np.full(200, 0.004)]) * rng.integers(1, 6, (n, v))
+    size = tf.sum(axis=1) + 5
+    doc, term = (x.astype(np.int64) for x in np.nonzero(tf))
+    order = np.lexsort((doc, term))
+    doc, term = doc[order], term[order]
+    df = np.bincount(term, minlength=v)
+    shard = text_search.Shard(doc.astype(np.uint16).tobytes(), tf[doc, term].astype(np.uint8).tobytes(), np.arange(n).tobytes(), size.astype(np.int64).tobytes(), np.flatnonzero(df), df[df > 0], float(size.mean()))
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    norm = text_search.K1 * (1 - text_search.B + text_search.B * size / size.mean())
+    impact = tf * (text_search.K1 + 1) / (tf + norm[:, None])
+    seen = 0
+    for q in range(60):
+        terms = np.flatnonzero(tf[q])
+        want = np.round(impact[:, terms] @ idf[terms], text_search.DECIMALS)
+        want[q] = 0
+        best = [d for d in np.lexsort((np.arange(n), -want))[:10] if want[d] > 0]
+        s, ids, blocks = shard.search(terms.astype(np.uint64), idf[terms], q, 10)
+        assert ids.tolist() == best and np.allclose(s, want[best], atol=2e-6)
+        seen += blocks
+    assert seen < 60 * shard.n_blocks
+
+
 def test_blocks_are_pruned():
     """One document far above the rest: most blocks must not be scored."""
     n = 64 * 40
