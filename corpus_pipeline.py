@@ -10,32 +10,42 @@ from skyfuse.llm.common import documents, importable, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the ordinal classifier rejects (low quality or toxic); it is fitted on labelled rows of this input."""
+    """Drops documents that the ordinal classifier rejects (low quality or toxic); it is fitted on labelled rows of this input.
+
+    Null, empty and white texts are dropped; repeated rows go or stay alike; an empty table stays empty.  All columns stay.
+    """
     importable(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.kept_documents(docs, model)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest doc_id.
+
+    Null and empty texts are one group; rows with a null id stay only where their group has no other; of rows alike in
+    id and text one stays, whatever their other columns hold.
+    """
     importable(spark)
     return simhash.similar_deduplicated(docs, words=5, least=(4, 5))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them become [SECRET]."""
+    """All documents stay, repeated ones too; secrets in them become [SECRET].  Null and empty texts stay as they are."""
     importable(spark)
     return secret_scan.redacted(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: once for each pass, cut to the words taken."""
+    """Documents as the mix takes them: once for each pass, cut to the words taken.
+
+    Documents without words don't come; a null source is a source of its own; repeated rows are taken each by itself.
+    """
     importable(spark)
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences; a null or empty text is its end id alone, an empty table gives no pieces."""
     importable(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), eos=1, length=2048)
 
