@@ -68,17 +68,24 @@ def a9_scene_iou(spark: SparkSession, sf: str) -> DataFrame:
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
 
 
-def _ground(height: float = 10.0):
+def _ground(height: float = 10.0, images: DataFrame | None = None):
+    """Level ground of 400 x 600 cells, which are as large as the images' rays (under 63 degrees off the vertical) need."""
     import numpy as np
 
-    return terrain.Terrain.of(np.full((400, 600), height), (-150.0, 1.0, 0.0, 200.0, 0.0, -1.0))
+    x1, y1, x2, y2 = -150.0, -200.0, 450.0, 200.0
+    at = images and images.agg(F.min("xs"), F.min("ys"), F.max("xs"), F.max("ys"), F.max("zs")).first()
+    if at and at[0] is not None:
+        far = 2 * max(at[4] - height, 1.0)
+        x1, y1, x2, y2 = min(x1, at[0] - far), min(y1, at[1] - far), max(x2, at[2] + far), max(y2, at[3] + far)
+    return terrain.Terrain.of(np.full((400, 600), height), (x1, (x2 - x1) / 600, 0.0, y2, 0.0, (y1 - y2) / 400))
 
 
 @query(views.sql("img") + f", r AS (SELECT img, xs, ys, zs, {ROT} FROM img), p AS (SELECT *, c1 * 200e0 + c2 * -150e0 - c3 * 3713.29e0 AS den FROM r) SELECT img, round((10e0 - zs) * (a1 * 200e0 + a2 * -150e0 - a3 * 3713.29e0) / den + xs, 3) AS x, round((10e0 - zs) * (b1 * 200e0 + b2 * -150e0 - b3 * 3713.29e0) / den + ys, 3) AS y, 10e0 AS z FROM p")
 def m8_ray_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Rays of one pixel of each image onto level ground."""
     cam, rays = Camera(), terrain.Rays(tolerance=1e-7)
-    sent = spark.sparkContext.broadcast(_ground())
+    d = views.images(spark, sf)
+    sent = spark.sparkContext.broadcast(_ground(images=d))
 
     def run(frames):
         import pandas as pd
@@ -88,7 +95,7 @@ def m8_ray_hits(spark: SparkSession, sf: str) -> DataFrame:
             h = [proj.hits([[cam.cx + 200.0, cam.cy + 150.0]], p)[0] for p in pdf[["xs", "ys", "zs", "phi", "omega", "kappa"]].to_numpy()]
             yield pd.DataFrame([(i, *map(float, v)) for i, v in zip(pdf.img, h, strict=True)], columns=["img", "x", "y", "z"])
 
-    d = views.images(spark, sf).select("img", "xs", "ys", "zs", "phi", "omega", "kappa").mapInPandas(run, "img long, x double, y double, z double")
+    d = d.select("img", "xs", "ys", "zs", "phi", "omega", "kappa").mapInPandas(run, "img long, x double, y double, z double")
     return d.select("img", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "z")
 
 

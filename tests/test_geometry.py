@@ -117,3 +117,20 @@ def test_methods_and_failures(spark):
     assert [r.method for r in tr.projected(d, p.t, cam, p.rays, "affine").orderBy("seq").collect()] == ["affine", "affine_failed"]
     with pytest.raises(ValueError):
         tr.affine_fit([(0, 0)], [(0, 0)])
+
+
+def test_level_ground_holds_every_image(spark):
+    """The rays of images far out land on the ground too."""
+    import numpy as np
+
+    from skyfuse.functions.camera import Camera
+    from skyfuse.operators import terrain
+    from skyfuse.plans.geometry_queries import _ground
+
+    poses = [(0.0, 0.0, 80.0, 0.5, 0.0, 3.0), (108.0, 36000.0, 104.0, 0.5, 0.0, -3.0), (-5000.0, 90.0, 104.0, 0.0, 0.0, 0.0)]
+    ground = _ground(images=spark.createDataFrame([p[:3] for p in poses], "xs double, ys double, zs double"))
+    proj, cam = terrain.Projector(ground, Camera(), terrain.Rays(tolerance=1e-7)), Camera()
+    pix = [[cam.cx + 200.0, cam.cy + 150.0]]
+    for p in poses:
+        assert np.allclose(proj.hits(pix, p)[0], [*proj.at_height(pix, p, 10.0)[0], 10.0], atol=1e-6)
+    assert _ground(images=spark.createDataFrame([], "xs double, ys double, zs double")).geo == _ground().geo
