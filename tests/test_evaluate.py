@@ -69,3 +69,30 @@ def test_scene_areas(spark):
     s = scene_areas(p, g, 7.0).first()
     assert (s.pred_area, s.gt_area, s.common) == (175.0, 144.0, 49.0)
     assert s.iou == pytest.approx(49 / 270) and s.precision == pytest.approx(49 / 175)
+
+
+def test_first_by_score_needs_no_rounds(spark, monkeypatch):
+    """Where no prediction is first at two ground truths, matching and Jaccard write no edges for rounds."""
+    monkeypatch.setattr(ev, "greedy_matching", lambda *a: pytest.fail("rounds"))
+    rows = [(k * 10 + j, k, 0.5 + 0.01 * j, 0.5 + 0.1 * ((j + k) % 5)) for k in range(4) for j in range(5)]
+    pairs = spark.createDataFrame([(s, g, c, i, i, 1.0, 1.0) for s, g, c, i in rows], "seq long, gt long, score double, iou double, inter double, p_area double, g_area double")
+    want = {(t, max((c, s) for s, g, c, i in rows if g == k and i >= t)[1], k) for t in (0.5, 0.75, 0.9) for k in range(4) if any(g == k and i >= t for _, g, _, i in rows)}
+    assert {(r.thr, r.seq, r.gt) for r in ev.matched(pairs, (0.5, 0.75, 0.9)).collect()} == want
+    best = {max((i, -s) for s, g, _, i in rows if g == k)[1] for k in range(4)}
+    assert {-r.seq for r in ev.aji_matches(pairs).collect()} == best
+
+
+def test_joins_collect_no_side(spark):
+    """Tables that look small are large once spread over tiles: no broadcast, with boxes larger than a tile too."""
+    from pyspark.sql import functions as F
+
+    from skyfuse.operators.tile_join import few_tile_pairs, near_pairs, tile_pairs
+
+    boxes = spark.range(60).select(F.col("id").alias("seq"), (F.col("id") % 7 * 1.5 - 3).alias("x1"), (F.col("id") % 5 * 1.1 - 2).alias("y1"), (F.col("id") % 3 * 2.5 + 0.5).alias("w"))
+    boxes = boxes.select("seq", "x1", "y1", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("w")).alias("y2"))
+    near = near_pairs(boxes.select("seq", F.col("x1").alias("x"), F.col("y1").alias("y")), 1.2)
+    few = few_tile_pairs(boxes, boxes, 1.0)
+    for d in (near, few):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    pairs = lambda d: sorted((r[0], r[1]) for r in d.select("a.seq", "b.seq").collect())
+    assert pairs(few) == pairs(tile_pairs(boxes, boxes, 1.0))
