@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -123,8 +123,8 @@ def pairs_within(fps, run_ids, radius: int, any_far=None):
             yield at, at + shift
 
 
-def linked(fps, run_ids, radius: int, any_far=None):
-    """Spanning links (i, j) of the fingerprints within the radius inside each run of equal run_ids (both arrays in run order)."""
+def linked(fps, run_ids, radius: int, any_far=None, also=None):
+    """Spanning links (i, j) of the fingerprints within the radius inside each run of equal run_ids (both arrays in run order); ``also`` tells which of the pairs (i, j) not joined yet may link."""
     import numpy as np
 
     label, out = np.arange(len(fps)), []
@@ -136,7 +136,15 @@ def linked(fps, run_ids, radius: int, any_far=None):
         return i
 
     for at, to in pairs_within(fps, run_ids, radius, any_far):
-        for i, j in zip(at[label[at] != label[to]].tolist(), to[label[at] != label[to]].tolist(), strict=True):
+        if also is not None:
+            while (label != label[label]).any():
+                label = label[label]
+        apart = label[at] != label[to]
+        at, to = at[apart], to[apart]
+        if also is not None and len(at):
+            ok = also(at, to)
+            at, to = at[ok], to[ok]
+        for i, j in zip(at.tolist(), to.tolist(), strict=True):
             a, b = root(i), root(j)
             if a != b:
                 label[max(a, b)] = min(a, b)
@@ -162,7 +170,7 @@ def by_runs(placed: DataFrame, keys: int, compare, schema: str = "a long, b long
 
         held = None
         for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
                 continue
@@ -366,7 +374,7 @@ def _dealt(met: DataFrame, bucket: int | None) -> DataFrame:
     bucket = bucket or BUCKET
     d = met.withColumn("parts", F.expr(f"int((size + {bucket - 1}) div {bucket})")).withColumn("part", F.pmod(F.xxhash64("s"), "parts").cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    d = d.select("g", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "s", "n", "fp")
+    d = d.select("g", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), *[c for c in met.columns if c not in ("g", "size")])
     return d.repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "s")
 
 
@@ -386,25 +394,40 @@ def _links(met: DataFrame, radius: int, bucket: int | None = None) -> DataFrame:
     return by_runs(_dealt(met, bucket), 3, compare).distinct()
 
 
-def _candidates(met: DataFrame, least: tuple[int, int], radius: int, bucket: int | None = None) -> DataFrame:
-    """(a, b): all pairs of a bucket that may be similar, by bit-sliced comparison."""
+def _likely_links(met: DataFrame, least: tuple[int, int], radius: int, bucket: int | None = None) -> DataFrame:
+    """(a, b): links that span, in every bucket, what may have Jaccard ``least`` by fingerprint, size and sketch; met has ``bins`` too."""
     p, q = least
 
     def compare(runs, cols):
         import numpy as np
         import pyarrow as pa
 
-        s, n, fp = cols
-        n = n.astype(np.int64)
-        for i, j in pairs_within(fp, runs, radius, n < FEW):
+        s, n, fp, bins = cols
+        n, bins = n.astype(np.int64), np.frombuffer(b"".join(bins), "<u2").reshape(-1, BINS)
+
+        def also(i, j):
             ok = (n[i] * q >= n[j] * p) & (n[j] * q >= n[i] * p)
-            i, j = s[i[ok]], s[j[ok]]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+            for at in range(0, len(i), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                ok[part] &= likely(bins[i[part]], bins[j[part]], p / q)
+            return ok
+
+        links = linked(fp, runs, radius, n < FEW, also)
+        if len(links):
+            i, j = s[links[:, 0]], s[links[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     return by_runs(_dealt(met, bucket), 3, compare).distinct()
 
 
+def likely(x, y, least: float):
+    """Whether sketches (rows of x and y) agree in a share of bins that sets of Jaccard ``least`` may have."""
+    import numpy as np
+
+    some, alike = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
+    return alike >= least * some - ERR * np.sqrt(least * (1 - least) * np.maximum(some, 1))
+
+
 def similar_within(sets: list, least: tuple[int, int]):
     """Label of each set: the first of those that it reaches over pairs of Jaccard ``least`` or more.
 
@@ -499,37 +522,41 @@ def _settled(grams: DataFrame, least: tuple[int, int]) -> DataFrame:
     return grams.select("root", "s", "grams").repartition("root").sortWithinPartitions("root", "s").mapInArrow(run, "node long, root long")
 
 
-def _likely(pairs: DataFrame, bins: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sketches agree in a share of bins that sets of Jaccard ``least`` may have."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
+def _shares(d: DataFrame, by: str, into: Column) -> DataFrame:
+    """d with ``total``, the shingles of its ``by`` group, and ``part``, one of ``into`` parts by hash."""
+    total = d.groupBy(by).agg(F.sum(F.size("grams")).alias("total"))
+    return d.join(total, by).withColumn("part", F.pmod(F.xxhash64("s"), into))
 
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (2, 3))
-            some, alike = ((x > 0) | (y > 0)).sum(axis=1), ((x == y) & (x > 0)).sum(axis=1)
-            room = ERR * np.sqrt(least * (1 - least) * np.maximum(some, 1))
-            yield batch.select(["a", "b"]).filter(pa.array(alike >= least * some - room))
-
-    need = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    some = bins.join(need, "s", "left_semi").groupBy("s").agg(F.first("bins").alias("bins"))  # one set, one sketch
-    both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
 
+def _settled_in_parts(grams: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """grams(root, s, grams) of groups larger than a task -> links (a, b) that span what is similar in them, exactly.
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, least: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of sets that have Jaccard ``least`` or more, in whole numbers over the whole sets."""
-    p, q = least
-    pairs = materialize(_likely(pairs, rows.select("s", "bins"), p / q), "jac-near")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    sets = materialize(_grams(docs, rows, need, words, id_col, text_col), "jac-sets")
-    x, y = sets.toDF("a", "ga"), sets.toDF("b", "gb")
-    both, of = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    # both / (of - both) >= p / q
-    links = materialize(pairs.join(x, "a").join(y, "b").where(both * (p + q) >= p * of).select("a", "b"), "jac-links")
-    drop(sets, pairs)
-    return links
+    First each part of a group is settled by itself, then what stands for the parts' components.  What a group's
+    largest component has by then needs no more comparing; each of the others meets every part of the group once.
+    No pair is written: a row comes once for each part that it meets.
+    """
+    half = max(1, MOST_GRAMS // 2)
+    parts = lambda n: F.expr(f"(({n}) + {half - 1}) div {half}")
+    keyed = lambda d, *key: d.select(F.xxhash64("root", *key).alias("root"), "s", "grams")
+    own = materialize(_settled(keyed(_shares(grams, "root", parts("total")), "part"), least), "jac-parts")
+    lead = grams.join(own.select(F.col("root").alias("s")).distinct(), "s", "left_semi")
+    led = materialize(_settled(keyed(_shares(lead, "root", parts("total")), "part"), least), "jac-leads")
+    links = own.unionByName(led).select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    of = components(links).select(F.col("node").alias("s"), F.col("root").alias("label"))
+    of = grams.select("root", "s", F.size("grams").cast("long").alias("n")).join(of, "s", "left").withColumn("label", F.coalesce("label", "s"))
+    of = materialize(of, "jac-labels")
+    by = of.groupBy("root", "label").agg(F.sum("n").alias("n"))
+    most = by.groupBy("root").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
+    most = materialize(most.where(F.col("n") > F.col("m.n")).select("root", F.col("m.label").alias("main"), parts("n - m.n").alias("few"), parts("m.n").alias("many")), "jac-most")
+    if not most.head(1):
+        return links
+    at = of.join(most, "root").withColumn("is", F.col("label") == F.col("main"))
+    at = at.withColumn("part", F.when(F.col("is"), F.col("few") + F.pmod(F.xxhash64("s"), "many")).otherwise(F.pmod(F.xxhash64("s"), "few")))
+    last = F.when(F.col("is"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    at = at.select("s", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    rest = _settled(keyed(grams.join(at, "s"), "x", "y"), least).select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    return links.unionByName(materialize(rest, "jac-rest"))
 
 
 def similar_deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), radius: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -541,22 +568,32 @@ def similar_deduplicated(docs: DataFrame, words: int = 5, least: tuple[int, int]
     distinct shingles (at any distance with fewer than FEW shingles) and its sketches leave room for the similarity;
     a pair of just that similarity is passed over with a chance of about 1e-8 by either.
     The comparison gives links that span what may be similar in a bucket, so a group of copies makes as many links as
-    it has members.  What they join is settled exactly, group by group, in one task each; groups of more than
-    MOST_GRAMS shingles are compared pair by pair instead.
+    it has members.  What they join is settled exactly, group by group, in one task each.  Groups of more than
+    MOST_GRAMS shingles are linked again by sketches too, and what is still larger is settled part by part.
     """
     rows = materialize(_sets(docs, words, least, id_col, text_col), "jac-rows")
     met = materialize(_met(rows), "jac-met")
     groups = materialize(components(_links(met, radius)).select(F.col("node").alias("s"), "root"), "jac-groups")
-    size = rows.groupBy("s").agg(F.max("n").alias("n")).join(groups, "s").groupBy("root").agg(F.sum("n").alias("n"))
-    wide = materialize(size.where(F.col("n") > MOST_GRAMS).select("root"), "jac-wide")
-    grams = _grams(docs, rows, groups.join(wide, "root", "left_anti").select("root", "s"), words, id_col, text_col)
+
+    def wide(g, name):
+        size = rows.groupBy("s").agg(F.max("n").alias("n")).join(g, "s").groupBy("root").agg(F.sum("n").alias("n"))
+        return materialize(size.where(F.col("n") > MOST_GRAMS).select("root"), name)
+
+    large = wide(groups, "jac-wide")
+    if large.head(1):
+        inside = groups.join(large, "root", "left_semi").select("s")
+        bins = rows.join(inside, "s", "left_semi").groupBy("s").agg(F.first("bins").alias("bins"))  # one set, one sketch
+        tight = components(_likely_links(met.join(bins, "s").select(*met.columns, "bins"), least, radius)).select(F.col("node").alias("s"), "root")
+        groups = materialize(groups.join(large, "root", "left_anti").select("s", "root").unionByName(tight), "jac-tight")
+        large = wide(groups, "jac-large")
+    drop(met)
+    grams = _grams(docs, rows, groups.join(large, "root", "left_anti").select("root", "s"), words, id_col, text_col)
     parts = materialize(_settled(grams, least), "jac-settled")
-    if wide.head(1):
-        here = met.join(groups.join(wide, "root", "left_semi").select("s"), "s", "left_semi")
-        pairs = materialize(_candidates(here, least, radius), "jac-pairs")
-        parts = parts.unionByName(components(_verified(pairs, docs, rows, words, least, id_col, text_col)))
-        drop(pairs)
-    drop(met, groups)
+    if large.head(1):
+        grams = materialize(_grams(docs, rows, groups.join(large, "root", "left_semi").select("root", "s"), words, id_col, text_col), "jac-sets")
+        parts = materialize(parts.unionByName(components(_settled_in_parts(grams, least))), "jac-all")
+        drop(grams)
+    drop(groups)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("f")
     by_set = rows.groupBy("s").agg(first).join(parts.withColumnRenamed("node", "s"), "s", "left")
     stay = by_set.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("f").alias("f")).select(F.col("f.k1").alias("k1"), F.col("f.k2").alias("k2"))
