@@ -1,12 +1,14 @@
-"""Exact BM25 top-k: inverted index per shard, block-max WAND pruning, lists merged by global statistics.
-
-A shard is one task's documents.  Its postings stand by term; documents form aligned blocks of BLOCK, and for each
-frequent term the largest impact in each block is kept.  A query adds up its rare terms exactly and bounds every block
-by its best such sum plus the frequent terms' block maxima.  The few blocks of the highest bounds give a first k-th
-score; then the cursors of all lists go through the documents in order, from pivot to pivot: a pivot is the next block
-whose bound reaches the k-th score, and everything before it is skipped unread.  Lists move block by block here, since
-a frequent term has postings in nearly every block.  Document frequencies, the number of documents and their mean length are those
-of the whole corpus, so the shards' lists merge exactly.  Terms are lower-cased words, known by a 64-bit hash.
+"""Exact BM25 top-k: inverted index per shard, block-max pruning, lists merged by global statistics.
+
+A shard is at most MOST documents of a task.  Its postings stand by term; documents form aligned blocks of BLOCK, and for
+each frequent term the largest impact in each block is kept.  Queries go together: their rare terms are added up exactly,
+and every block is bounded by its best such sum plus the frequent terms' block maxima, for all queries by one product of
+matrices.  Where a query has no k documents yet, the few blocks of the highest bounds give a first k-th score.  A block is
+then scored for those queries whose bound in it reaches their k-th score, again as a product, in single precision; what
+could reach the k-th score by that, to within its error, is scored exactly.  A task goes through its shards one by one and
+keeps each query's k best, so that later shards start from the k-th score of those before.  Document frequencies, the
+number of documents and their mean length are those of the whole corpus, so the tasks' lists merge exactly.  Terms are
+lower-cased words, known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from .substring import WordHash
 K1, B = 1.2, 0.75
 #: Documents of a block; shard document frequency from which a term is frequent; documents of a shard, and at most.
 BLOCK, FREQUENT, SHARD, MOST = 64, 256, 8_192, 12_288
-#: A term in one of so many documents of the shard, or more, stands as a row.
-DENSE = 12
-#: Blocks of the highest bounds that are scored first; pivots that are scored at a time.
-SEEDS, PIVOTS = 8, 16
+#: A frequent term is in one of so many documents of the shard, or more; cells of the table of frequent terms.
+DENSE, CELLS = 32, 16_000_000
+#: Blocks of the highest bounds that are scored first; queries, and their rare postings, that go together.
+SEEDS, QUERIES, POSTINGS = 8, 128, 1_000_000
+#: Tasks of the search for each core.
+TASKS = 4
 #: Scores are compared and returned at this many decimals, so that the order of additions can't matter.
 DECIMALS = 6
 
@@ -108,87 +112,124 @@ class Shard:
         norm = K1 * (1 - B + B * size / mean) if mean else np.full(len(size), K1)
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
         self.n_blocks = -(-len(self.ids) // BLOCK)
-        self.often = np.flatnonzero(self.df >= FREQUENT)
+        # frequent terms stand as rows, block by block; what finds no room counts as rare
+        often = np.flatnonzero(self.df >= max(FREQUENT, len(self.ids) // DENSE))
+        often = np.sort(often[np.argsort(-self.df[often], kind="stable")[: max(1, CELLS // max(1, len(self.ids)))]])
         self.row = np.full(len(self.terms), -1, np.int32)
-        self.row[self.often] = np.arange(len(self.often))
-        # terms in many of the documents stand as rows, block by block
-        self.rows = np.flatnonzero(self.df >= max(FREQUENT, len(self.ids) // DENSE))
-        self.dense = np.full(len(self.terms), -1, np.int32)
-        self.dense[self.rows] = np.arange(len(self.rows))
-        self.table = np.zeros((self.n_blocks, len(self.rows), BLOCK))
-        for r, t in enumerate(self.rows):
+        self.row[often] = np.arange(len(often))
+        self.table = np.zeros((self.n_blocks, len(often), BLOCK), np.float32)
+        for r, t in enumerate(often):
             at = self.doc[self.at[t] : self.at[t + 1]].astype(np.int64)
             self.table[at // BLOCK, r, at % BLOCK] = self.impact[self.at[t] : self.at[t + 1]]
-        # block maxima and block starts of the frequent terms
-        self.top = np.zeros((len(self.often), self.n_blocks))
-        self.start = np.zeros((len(self.often), self.n_blocks + 1), np.int64)
-        edges = np.arange(self.n_blocks + 1) * BLOCK
-        for r, t in enumerate(self.often):
-            lo, hi = self.at[t], self.at[t + 1]
-            cut = np.searchsorted(self.doc[lo:hi], edges)
-            self.start[r] = lo + cut
-            full = np.flatnonzero(cut[1:] > cut[:-1])
-            self.top[r, full] = np.maximum.reduceat(self.impact[lo:hi], cut[full])
-
-    def _gather(self, lo, hi, weight):
-        """Documents and weighted impacts of the postings of many ranges."""
-        import numpy as np
-
-        n = hi - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return self.doc[at].astype(np.int64), self.impact[at] * np.repeat(weight, n)
+        self.top = np.ascontiguousarray(self.table.max(axis=2).T)
+        # single precision and its sums are off by this share at most: all terms of a sum are positive
+        self.grow = 1 + 2 * (len(often) + 8) * 2.0**-24
+        # the postings by document, for exact scores
+        order = np.argsort(self.doc, kind="stable")
+        self.of_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df)[order]
+        self.of_impact = self.impact[order]
+        self.of = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))]
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.weight = np.zeros(len(self.terms))
 
     def search(self, terms, idf, own: int, k: int):
         """(scores, ids) of the k best documents but ``own``, and the number of blocks scored."""
         import numpy as np
 
-        none = np.zeros(0), np.zeros(0, np.int64), 0
+        best = [(np.zeros(0), np.zeros(0, np.int64))]
+        seen = self.search_many(np.array([own]), np.array([len(terms)]), np.asarray(terms), np.asarray(idf), k, best)
+        return *best[0], seen
+
+    def search_many(self, own, n_terms, terms, idf, k: int, best: list) -> int:
+        """Brings ``best``, the (scores, ids) of the k best documents so far of each query, up to date; the number of blocks scored.
+
+        ``terms`` and ``idf`` hold the terms of all queries, ``n_terms`` of each.
+        """
+        import numpy as np
+
         if not len(self.terms):
-            return none
+            return 0
+        q = np.repeat(np.arange(len(own)), n_terms)
         place = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[place] == terms
-        place, idf = place[here], idf[here]
-        if not len(place):
-            return none
-        n_docs, row = len(self.ids), self.row[place]
+        q, place, idf = q[here], place[here], idf[here]
+        # lots of queries whose rare postings fit; a query has no more than the shard
+        reads = np.bincount(q, np.where(self.row[place] < 0, self.df[place], 0), minlength=len(own))
+        lot = np.maximum.accumulate(np.cumsum(reads) // POSTINGS * len(own) + np.arange(len(own)) // QUERIES)
+        cut = np.flatnonzero(np.r_[True, lot[1:] != lot[:-1], True])
+        seen = 0
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            a, b = np.searchsorted(q, [lo, hi])
+            seen += self._search(own[lo:hi], q[a:b] - lo, place[a:b], idf[a:b], k, best, lo)
+        return seen
+
+    def _search(self, own, q, place, idf, k: int, best: list, first: int) -> int:
+        """A lot of queries; terms are places here.  ``best`` holds the lot from ``first`` on."""
+        import numpy as np
+
+        n, row, width, slack = len(own), self.row[place], self.n_blocks * BLOCK, 2 * 10.0**-DECIMALS
         rare = row < 0
-        score = np.zeros(self.n_blocks * BLOCK)
-        if rare.any():
-            d, w = self._gather(self.at[place[rare]], self.at[place[rare] + 1], idf[rare])
-            score += np.bincount(d, w, minlength=len(score))
-        bound = score.reshape(-1, BLOCK).max(axis=1) + idf[~rare] @ self.top[row[~rare]]
-        dense = self.dense[place]
-        often = ~rare & (dense < 0)
-        rows, weight, table, wide = row[often], idf[often], dense[dense >= 0], idf[dense >= 0]
-        slack = 2 * 10.0**-DECIMALS
-        got_s, got_i, least, seen, at = np.zeros(0), np.zeros(0, np.int64), -np.inf, 0, 0
-        first = np.argsort(-bound, kind="stable")[:SEEDS]
-        first = first[bound[first] > 0]
-        bound[first], ahead = -np.inf, first
-        while len(ahead):
-            block = ahead
-            seen += len(block)
-            s = score.reshape(-1, BLOCK)[block]
-            if len(table):
-                s = s + wide @ self.table[block[:, None], table]
-            if len(rows):
-                lo, hi = self.start[rows][:, block].ravel(), self.start[rows][:, block + 1].ravel()
-                d, w = self._gather(lo, hi, np.repeat(weight, len(block)))
-                new = np.zeros(self.n_blocks, np.int64)
-                new[block] = np.arange(len(block))
-                s = s + np.bincount(new[d // BLOCK] * BLOCK + d % BLOCK, w, minlength=s.size).reshape(s.shape)
-            s = np.round(s.ravel(), DECIMALS)
-            docs = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            ok = (s > 0) & (s >= least) & (docs < n_docs)
-            ids = self.ids[docs[ok]]
-            s, ids = np.r_[got_s, s[ok][ids != own]], np.r_[got_i, ids[ids != own]]
-            best = np.lexsort((ids, -s))[:k]
-            got_s, got_i = s[best], ids[best]
-            least = got_s[-1] if len(got_s) == k else -np.inf
-            # the next pivots: a few at a time, as each lot may raise the k-th score
-            ahead = at + np.flatnonzero((bound[at:] > 0) & (bound[at:] >= least - slack))[:PIVOTS]
-            at = ahead[-1] + 1 if len(ahead) else at
-        return got_s, got_i, seen
+        at, reads = _ranges(self.at[place[rare]], self.df[place[rare]])
+        score = np.bincount(np.repeat(q[rare] * width, reads) + self.doc[at], self.impact[at] * np.repeat(idf[rare], reads), n * width)
+        score = score.astype(float, copy=False).reshape(n, self.n_blocks, BLOCK)
+        sorted_ids = self.ids[self.by_id]
+        left = np.searchsorted(sorted_ids, own)
+        same, many = _ranges(left, np.searchsorted(sorted_ids, own, "right") - left)
+        same = self.by_id[same]
+        score[np.repeat(np.arange(n), many), same // BLOCK, same % BLOCK] = -np.inf
+        weight = np.zeros((n, len(self.top)), np.float32)
+        weight[q[~rare], row[~rare]] = idf[~rare]
+        bound = score.max(axis=2) + weight @ self.top
+        least = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best[first : first + n]])
+        near = np.zeros(bound.shape, bool)
+        fresh = np.flatnonzero(least == -np.inf)
+        if len(fresh):  # the blocks of the highest bounds give a first k-th score
+            m = min(SEEDS, self.n_blocks)
+            seeds = np.argpartition(-bound[fresh], m - 1, axis=1)[:, :m]
+            near[fresh[:, None], seeds] = True
+            near &= bound > 0
+            got = np.zeros((n, m, BLOCK))
+            slot = np.cumsum(near, axis=1) - 1
+            for b in np.flatnonzero(near.any(axis=0)).tolist():
+                who = np.flatnonzero(near[:, b])
+                got[who, slot[who, b]] = score[who, b] + weight[who] @ self.table[b]
+            if m * BLOCK >= k:
+                kth = -np.partition(-got[fresh].reshape(len(fresh), -1), k - 1, axis=1)[:, k - 1]
+                least[fresh] = np.where(kth > 0, kth / self.grow - slack, -np.inf)
+        least = (least - slack)[:, None]
+        todo = (bound > 0) & (bound * self.grow >= least)
+        who_all, docs_all, about = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for b in np.flatnonzero(todo.any(axis=0)).tolist():
+            who = np.flatnonzero(todo[:, b])
+            s = score[who, b] + weight[who] @ self.table[b]
+            j, d = np.nonzero((s > 0) & (s * self.grow >= least[who]))
+            who_all.append(who[j])
+            docs_all.append(b * BLOCK + d)
+            about.append(s[j, d])
+        order = np.argsort(who := np.concatenate(who_all), kind="stable")
+        who, docs, about = who[order], np.concatenate(docs_all)[order], np.concatenate(about)[order]
+        cut = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True]) if len(who) else np.zeros(1, np.int64)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            j, d, s = who[lo], docs[lo:hi], about[lo:hi]
+            if len(d) > k:
+                d = d[s * self.grow >= np.partition(s, len(s) - k)[len(s) - k] / self.grow - slack]
+            a, b = np.searchsorted(q, [j, j + 1])
+            self.weight[place[a:b]] = idf[a:b]
+            at, reads = _ranges(self.of[d], self.of[d + 1] - self.of[d])
+            s = np.round(np.add.reduceat(self.of_impact[at] * self.weight[self.of_term[at]], np.cumsum(reads) - reads), DECIMALS)
+            self.weight[place[a:b]] = 0
+            old, ok = best[first + j], s > 0
+            s, ids = np.r_[old[0], s[ok]], np.r_[old[1], self.ids[d[ok]]]
+            top = np.lexsort((ids, -s))[:k]
+            best[first + j] = s[top], ids[top]
+        return int((near | todo).sum())
+
+
+def _ranges(lo, n):
+    """Numbers of many ranges, one after the other, and how many each has."""
+    import numpy as np
+
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
 def search(docs: DataFrame, every: int = 100, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,26 +274,31 @@ def search(docs: DataFrame, every: int = 100, k: int = 10, id_col: str = "doc_id
     asked.write.parquet(f"{folder}/rows")
 
     def run(batches):
-        """A shard at a time against all queries, read in blocks."""
+        """A shard at a time against all queries, read in blocks; the k best of the task's shards come at the end."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
+        best: dict[int, tuple] = {}
+        none = np.zeros(0), np.zeros(0, np.int64)
         for b in batches:
             for doc, tf, ids, sizes, at, df in zip(*(b.column(c) for c in ("doc", "tf", "ids", "sizes", "terms", "df")), strict=True):
                 shard = Shard(*(x.as_buffer() for x in (doc, tf, ids, sizes)), at.values.to_numpy(), df.values.to_numpy(), mean)
                 for q in ds.dataset(f"{top}/rows", filesystem=store, format="parquet").to_batches(batch_size=256, columns=["query_id", "terms", "idf"]):
-                    out = ([], [], [])
-                    for own, terms, idf in zip(q.column(0).to_pylist(), q.column(1), q.column(2), strict=True):
-                        s, i, _ = shard.search(terms.values.to_numpy().view(np.uint64), idf.values.to_numpy(), own, k)
-                        out[0].extend([own] * len(s))
-                        out[1].extend(i.tolist())
-                        out[2].extend(s.tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
-
-    found = index.drop("shard").mapInArrow(run, "query_id long, doc_id long, score double")
+                    own = q.column(0).to_numpy()
+                    held = [best.get(o, none) for o in own.tolist()]
+                    shard.search_many(own, q.column(1).value_lengths().to_numpy(), q.column(1).flatten().to_numpy().view(np.uint64), q.column(2).flatten().to_numpy(), k, held)
+                    best.update(zip(own.tolist(), held, strict=True))
+        own = list(best)
+        for at in range(0, len(own), 1024):
+            some = [(o, *best[o]) for o in own[at : at + 1024]]
+            out = np.repeat([o for o, _, _ in some], [len(s) for _, s, _ in some]), np.concatenate([i for _, _, i in some]), np.concatenate([s for _, s, _ in some])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
+
+    tasks = index.drop("shard").coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    found = tasks.mapInArrow(run, "query_id long, doc_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -93,3 +93,38 @@ def test_blocks_are_pruned():
     shard = text_search.Shard(doc.tobytes(), tf.tobytes(), np.arange(n).tobytes(), np.full(n, 10).tobytes(), [1, 2], [n, 1], 10.0)
     s, ids, seen = shard.search(np.array([1, 2], np.uint64), np.array([0.1, 5.0]), -1, 1)
     assert ids.tolist() == [7] and seen <= 8 < shard.n_blocks
+
+
+def shards(tf, size, parts):
+    for at in np.array_split(np.arange(len(tf)), parts):
+        doc, term = (x.astype(np.int64) for x in np.nonzero(tf[at]))
+        order = np.lexsort((doc, term))
+        doc, term, df = doc[order], term[order], np.bincount(term, minlength=tf.shape[1])
+        yield text_search.Shard(doc.astype(np.uint16).tobytes(), tf[at][doc, term].astype(np.uint8).tobytes(), at.astype(np.int64).tobytes(), size[at].astype(np.int64).tobytes(), np.flatnonzero(df), df[df > 0], float(size.mean()))
+
+
+@pytest.mark.parametrize("cells, postings", [(16_000_000, 1_000_000), (4_000, 50)])
+def test_queries_go_together_and_keep_their_best(monkeypatch, cells, postings):
+    """Shards one after the other, with scores closer than single precision, repeated rows, and queries in lots."""
+    for name, value in (("FREQUENT", 8), ("BLOCK", 16), ("CELLS", cells), ("POSTINGS", postings), ("QUERIES", 7)):
+        monkeypatch.setattr(text_search, name, value)
+    rng = np.random.default_rng(5)
+    n, v, k = 1200, 150, 10
+    tf = (rng.random((n, v)) < np.r_[np.full(30, 0.5), np.full(120, 0.03)]) * rng.integers(1, 4, (n, v))
+    tf[600:640] = tf[3]
+    size = tf.sum(axis=1) + 5
+    idf = rng.random(v) * 1000 + np.arange(v) * 1e-5
+    norm = text_search.K1 * (1 - text_search.B + text_search.B * size / size.mean())
+    impact = tf * (text_search.K1 + 1) / (tf + norm[:, None])
+    asked = [np.flatnonzero(tf[q]) for q in range(40)]
+    own, many, terms = np.arange(40), np.array([len(t) for t in asked]), np.concatenate(asked)
+    best, fresh, carried = [(np.zeros(0), np.zeros(0, np.int64))] * 40, 0, 0
+    for s in shards(tf, size, 3):
+        fresh += s.search_many(own, many, terms.astype(np.uint64), idf[terms], k, [(np.zeros(0), np.zeros(0, np.int64))] * 40)
+        carried += s.search_many(own, many, terms.astype(np.uint64), idf[terms], k, best)
+    assert carried <= fresh
+    for q, (s, ids) in enumerate(best):
+        want = np.round(impact[:, asked[q]] @ idf[asked[q]], text_search.DECIMALS)
+        want[q] = 0
+        expected = [d for d in np.lexsort((np.arange(n), -want))[:k] if want[d] > 0]
+        assert ids.tolist() == expected and np.allclose(s, want[expected], atol=2e-6)
